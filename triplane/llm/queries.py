@@ -24,6 +24,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triplane.llm.wrappers import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triplane.llm.quality import score_quality
 
@@ -68,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_near_dedup, op4_quality, op5_packing, op6_toxicity, op7_licenses, op8_topk, op9_ngram_lm, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_near_dedup, op3_wrappers, op4_quality, op5_packing, op6_toxicity, op7_licenses, op8_topk, op9_ngram_lm, op10_mixing)}
 
 _TOPK_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
