@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplane.llm.tables import arrow_batches
+from triplane.llm.tables import arrow_batches, materialize, release
 from triplane.llm.words import hash_words
 
 BITS, PREFIX = 20, 5
-#: The fit reads at most so many labelled rows of either class, those with the least hash of their id; scoring reads all.
-SAMPLE_PER_CLASS = 10_000
+#: The fit reads at most so many labelled rows, those with the least hash of their id; scoring reads all.
+SAMPLE_ROWS = 20_000
+#: A feature takes part in the fit if it is in SUPPORT rows of the sample at least and its count in toxic rows is Z standard
+#: deviations from what chance would give.
+SUPPORT, Z = 3, 4.0
 #: A text goes when P(severity > 0) reaches this.
 REJECT_AT = 0.2
 
@@ -59,32 +62,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def severity_grades(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray, width: int) -> np.ndarray:
-    """0 for rows that aren't toxic; 1 to 3 for thirds of the toxic rows by their share of features with log odds over 2."""
-    is_toxic = toxic.astype(bool)
-    bad = np.bincount(cols[is_toxic[rows]], minlength=width) + 0.5
-    good = np.bincount(cols[~is_toxic[rows]], minlength=width) + 0.5
-    marks = np.log(bad / good * max(1, (~is_toxic).sum()) / max(1, is_toxic.sum())) > 2
-    share = np.bincount(rows, weights=marks[cols], minlength=len(toxic)) / np.maximum(1, np.bincount(rows, minlength=len(toxic)))
+def severity_grades(toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """0 for rows that aren't toxic; 1 to 3 for thirds of the toxic rows by their share of features that mark toxicity."""
     grades = np.zeros(len(toxic), np.int64)
-    cuts = np.quantile(share[is_toxic], [1 / 3, 2 / 3])
-    grades[is_toxic] = 1 + np.searchsorted(cuts, share[is_toxic], side="left")
+    if toxic.any():
+        grades[toxic] = 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share[toxic], side="left")
     return grades
 
 
-def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-5, support: int = 3, z: float = 4.0) -> Model:
-    """Adagrad on the mean cumulative-link loss with an L2 penalty. A feature takes part if it is in ``support`` rows at
-    least and its count in toxic rows is ``z`` standard deviations from what chance would give."""
+def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-5) -> Model:
+    """Adagrad on the mean cumulative-link loss with an L2 penalty. (rows, features): the sparse 0/1 matrix."""
     n, top = len(grades), int(grades.max(initial=0))
-    base = (grades > 0).mean() if n else 0
-    used, cols, counts = np.unique(features, return_inverse=True, return_counts=True)
-    bad = np.bincount(cols, weights=(grades > 0)[rows], minlength=len(used)) if len(used) else np.zeros(0)
-    keep = (counts >= support) & (np.abs(bad - counts * base) >= z * np.sqrt(counts * base * (1 - base)))
-    if top == 0 or not keep.any():
+    used, cols = np.unique(features, return_inverse=True)
+    if top == 0 or not len(used):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
-    new = np.cumsum(keep) - 1
-    ok = keep[cols]
-    rows, cols, used = rows[ok], new[cols[ok]], used[keep]
     w, gw = np.zeros(len(used)), np.full(len(used), 1e-8)
     freq = np.clip([(grades > c).mean() for c in range(top)], 1e-6, 1 - 1e-6)
     theta = np.log((1 - freq) / freq)
@@ -105,13 +96,12 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, step
     return Model(used, w, theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on a bounded sample of labelled rows. Null ids, labels and texts are left out; labels of one class only, or
-    none, give a model that finds every severity 0."""
+    none, give a model that finds every severity 0. The driver gets the features that pass the screen, no others."""
     arrow_batches(docs.sparkSession)
-    asked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    one = lambda c: asked.where(c).orderBy(F.xxhash64("id"), "id").limit(per_class)
-    sample = one("toxic > 0").union(one("toxic <= 0"))
+    asked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
+    sample = asked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id")
 
     def extract(batches):
@@ -120,14 +110,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats, pa.int32()))], ["id", "toxic", "f"])
 
-    got = joined.select("id", "toxic", "text").mapInArrow(extract, "id long, toxic int, f array<int>").toArrow().sort_by("id")
-    toxic = got.column("toxic").to_numpy().astype(np.int64) > 0
-    if not toxic.any() or toxic.all():
+    held = materialize(joined.select("id", "toxic", "text").mapInArrow(extract, "id long, toxic boolean, f array<int>"))
+    n, bad = held.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    if not n or not bad or bad == n:
+        release(held)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
+    base = bad / n
+    each = held.select(F.explode("f").alias("f"), F.col("toxic").cast("long").alias("t")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("b"))
+    far = F.abs(F.col("b") - F.col("c") * base) >= Z * F.sqrt(F.col("c") * (base * (1 - base)))
+    screened = each.where((F.col("c") >= SUPPORT) & far).toArrow().sort_by("f")
+    chosen, count, toxic_count = (screened.column(c).to_numpy().astype(np.int64) for c in ("f", "c", "b"))
+    marks = chosen[np.log((toxic_count + 0.5) / (count - toxic_count + 0.5) * (1 - base) / base) > 2]
+
+    def restrict(batches):
+        for batch in batches:
+            lists = batch.column("f")
+            size = np.asarray(lists.value_lengths())
+            feats = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            share = np.bincount(owner, weights=np.isin(feats, marks), minlength=len(size)) / np.maximum(size, 1)
+            keep = np.isin(feats, chosen)
+            bounds = np.searchsorted(owner[keep], np.arange(len(size) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(share), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats[keep], pa.int32()))], ["id", "toxic", "share", "f"])
+
+    got = held.mapInArrow(restrict, "id long, toxic boolean, share double, f array<int>").toArrow().sort_by("id")
+    release(held)
     lists = got.column("f").combine_chunks()
-    rows = np.repeat(np.arange(len(toxic)), np.asarray(lists.value_lengths()))
-    features = lists.flatten().to_numpy().astype(np.int64)
-    return fit_ordinal(rows, features, severity_grades(toxic, rows, features, 1 << BITS))
+    rows = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
+    return fit_ordinal(rows, lists.flatten().to_numpy().astype(np.int64), severity_grades(got.column("toxic").to_numpy(), got.column("share").to_numpy()))
 
 
 def severity(text: Column | str, model: Model) -> Column:
