@@ -1,0 +1 @@
+"""Terms and expressions as native columns."""

@@ -1,0 +1 @@
+"""Relational operators over solution tables: joins, unions, solution modifiers."""

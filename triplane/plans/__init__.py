@@ -1,0 +1 @@
+"""Query text to algebra to DataFrame."""

@@ -1,0 +1 @@
+"""Where triples come from: mapped tables, RDF files, the encoded store."""
