@@ -58,7 +58,7 @@ def build(spark: SparkSession, statements: DataFrame, path: str, force: bool = F
         triples.repartitionByRange("p", by).sortWithinPartitions("p", by).write.partitionBy("p").parquet(f"{path}/{name}")
     written = spark.read.schema("s bigint, o bigint, p bigint").parquet(f"{path}/triples")
     written.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"), F.countDistinct("o").alias("objects")).write.parquet(f"{path}/stats")
-    stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_meta.json"), True)
+    stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta.json"), True)
     stream.write(bytearray(json.dumps({"format": FORMAT, "version": VERSION}).encode()))
     stream.close()
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(raw), True)
@@ -67,10 +67,10 @@ def build(spark: SparkSession, statements: DataFrame, path: str, force: bool = F
 
 class EncodedStore:
     def __init__(self, spark: SparkSession, path: str):
-        fs, where = _fs(spark, f"{path}/_meta.json")
+        fs, where = _fs(spark, f"{path}/meta.json")
         if not fs.exists(where):
             raise QueryError(f"no store at {path}")
-        meta = json.loads(spark.read.text(f"{path}/_meta.json", wholetext=True).first()[0])
+        meta = json.loads(spark.read.text(f"{path}/meta.json", wholetext=True).first()[0])
         if (meta.get("format"), meta.get("version")) != (FORMAT, VERSION):
             raise QueryError(f"not a store of version {VERSION}: {path}")
         self.spark, self.path = spark, path

@@ -215,7 +215,7 @@ def _key_is(t: T.DataType, col: Column, text: str) -> Column | None:
 VOCABULARY = "urn:t:"
 
 
-def test_tables(spark: SparkSession, folder: str) -> MappedTables:
+def relational_graph(spark: SparkSession, folder: str) -> MappedTables:
     """The mapping of the relational tables of a data folder, vocabulary ``urn:t:``."""
     v = VOCABULARY
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
