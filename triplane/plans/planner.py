@@ -131,9 +131,15 @@ def run(source: TripleSource, text: str, form: str = "native") -> DataFrame:
     s = plan(source, query)
     if query.form == "ask":
         return s.df
-    ordered = s.kinds
-    s = source.decode(s, set(ordered)) if not query.order else _decode_in_order(source, s)
-    return s.df.select(*[_output(s.term(v), form).alias(v) for v in ordered])
+    s = decoded(source, query, s)
+    return s.df.select(*[_output(s.term(v), form).alias(v) for v in s.kinds])
+
+
+def decoded(source: TripleSource, query: Query, s: Solutions) -> Solutions:
+    """A plan's solutions with their terms, in the query's order."""
+    names = list(s.kinds)
+    s = source.decode(s, set(names)) if not query.order else _decode_in_order(source, s)
+    return Solutions(s.df, {v: s.kinds[v] for v in names}, s.certain)
 
 
 def _decode_in_order(source: TripleSource, s: Solutions) -> Solutions:

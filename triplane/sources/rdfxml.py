@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from urllib.parse import urljoin
 
+from triplane.functions.iris import resolve_iri
 from triplane.functions.terms import BLANK, IRI, RDF, Term, literal
 from triplane.plans.ast import QueryError
 
@@ -31,9 +31,9 @@ class _Reader:
     def node(self, e: ET.Element, base: str, lang: str) -> Term:
         base, lang = e.get(_XML + "base", base), e.get(_XML + "lang", lang)
         if (about := e.get(_R + "about")) is not None:
-            s = Term(IRI, urljoin(base, about))
+            s = Term(IRI, resolve_iri(base, about))
         elif (name := e.get(_R + "ID")) is not None:
-            s = Term(IRI, urljoin(base, "#" + name))
+            s = Term(IRI, resolve_iri(base, "#" + name))
         elif (label := e.get(_R + "nodeID")) is not None:
             s = Term(BLANK, f"{self.scope}n{label}")
         else:
@@ -74,7 +74,7 @@ class _Reader:
             inner = (e.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in e)
             o = literal(inner, RDF + "XMLLiteral")
         elif (resource := e.get(_R + "resource")) is not None:
-            o = Term(IRI, urljoin(base, resource))
+            o = Term(IRI, resolve_iri(base, resource))
             self.attributes(o, e, lang)
         elif (label := e.get(_R + "nodeID")) is not None:
             o = Term(BLANK, f"{self.scope}n{label}")
@@ -83,7 +83,7 @@ class _Reader:
                 raise QueryError(f"several values in {tag}")
             o = self.node(e[0], base, lang)
         elif (kind := e.get(_R + "datatype")) is not None:
-            o = literal(e.text or "", urljoin(base, kind))
+            o = literal(e.text or "", resolve_iri(base, kind))
         elif any(a not in _NOT_PROPERTIES for a in e.attrib):
             o = self.fresh()
             self.attributes(o, e, lang)
