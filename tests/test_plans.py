@@ -35,3 +35,18 @@ def test_doubtful_key_is_no_nested_loop(spark):
 def test_top_k_and_no_python(spark):
     got = plan(spark, "SELECT ?k { ?o t:o_orderkey ?k ; t:o_totalprice ?p FILTER(REGEX(STR(?k), \"1\")) } ORDER BY ?p LIMIT 5")
     assert "TakeOrderedAndProject" in got and "Python" not in got and "Arrow" not in got
+
+
+def test_equal_doubles_hash(spark):
+    got = plan(spark, "SELECT ?a ?b { ?x t:c_name ?a ; t:c_acctbal ?k . ?y t:s_name ?b ; t:s_acctbal ?m FILTER(?k = ?m) }")
+    assert ("HashJoin" in got or "SortMergeJoin" in got) and "NestedLoop" not in got and "Cartesian" not in got
+
+
+def test_any_predicate_scans_a_table_once(spark):
+    got = plan(spark, "SELECT ?p ?o { ?s ?p ?o }")
+    assert got.count("FileScan") == 9
+
+
+def test_filter_on_rows_without_a_key_reaches_the_scan(spark):
+    got = plan(spark, "SELECT ?l ?q { ?l t:l_quantity ?q ; t:l_tax ?t FILTER(?t > 0.07e0) }")
+    assert "GreaterThan(l_tax,0.07)" in got

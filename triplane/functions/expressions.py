@@ -75,10 +75,13 @@ def _numbers(a: Ex, b: Ex) -> tuple[Column, Column, str]:
 
 
 def _compare_values(a: Column, b: Column, op: str, floating: bool, fixed: tuple[bool, bool] = (False, False)) -> Column:
-    """floating: NaN compares with nothing. A fixed side needs no guard, which leaves a condition that reaches the scan."""
+    """floating: NaN compares with nothing. A fixed side needs no guard, which leaves a condition that reaches the scan; an
+    equality stays a conjunct of its own, which joins can hash on."""
     out = {"=": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
     if floating and any(fixed):
         return out & ~F.isnan(b if fixed[0] else a)
+    if floating and op == "=":
+        return out & F.when(b.isNotNull(), ~F.isnan(a))
     return F.when(a.isNotNull() & b.isNotNull(), out & ~F.isnan(a) & ~F.isnan(b)) if floating else out
 
 
@@ -258,8 +261,6 @@ def regex(text: Ex, pattern: Ex, flags: Ex | None = None) -> Ex:
     return Ex(BOOL_KIND, F.rlike(_simple(text), p))
 
 
-
-
 FUNCTIONS: dict[str, Callable[..., Ex]] = {
     "=": equals,
     "!=": lambda a, b: Ex(BOOL_KIND, ~equals(a, b).col),

@@ -67,6 +67,15 @@ SPARQL: dict[str, tuple[str, str]] = {
         """SELECT 'urn:t:' || p AS p, o FROM (SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey', 'n_region']) AS p,
            unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR, 'urn:t:region/' || n_regionkey]) AS o FROM nation WHERE n_name = 'NATION_5')""",
     ),
+    "bgp_all_variables": (
+        "SELECT ?s ?p ?o WHERE { ?s ?p ?o . ?s t:r_name ?name }",
+        """SELECT 'urn:t:region/' || r_regionkey AS s, 'urn:t:' || p AS p, o FROM (SELECT r_regionkey, unnest(['r_regionkey', 'r_name']) AS p, unnest([r_regionkey::VARCHAR, r_name]) AS o FROM region)""",
+    ),
+    "bgp_blank_self_join": (
+        "SELECT ?qty ?p ?o WHERE { ?l t:l_quantity ?qty ; t:l_tax 0.08e0 ; t:l_discount 0.1e0 . ?l ?p ?o FILTER(isIRI(?o)) }",
+        """SELECT l_quantity AS qty, 'urn:t:' || p AS p, o FROM (SELECT l_quantity, unnest(['l_order', 'l_part', 'l_supp']) AS p,
+           unnest(['urn:t:order/' || l_orderkey, 'urn:t:part/' || l_partkey, 'urn:t:supplier/' || l_suppkey]) AS o FROM lineitem WHERE l_tax = 0.08 AND l_discount = 0.1)""",
+    ),
     "false_pattern": (
         'SELECT ?c ?x WHERE { ?c t:c_name ?n ; t:no_such_predicate ?x }',
         "SELECT c_name AS c, c_name AS x FROM customer WHERE false",
@@ -152,6 +161,10 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?part ?qty WHERE { _:l t:l_quantity ?qty ; t:l_part ?p . ?p t:p_partkey ?part ; t:p_size ?size FILTER(?qty = ?size) }",
         "SELECT p_partkey AS part, l_quantity AS qty FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity = p_size",
     ),
+    "value_eq_double": (
+        "SELECT ?a ?b WHERE { ?x t:c_name ?a ; t:c_acctbal ?k . ?y t:s_name ?b ; t:s_acctbal ?m FILTER(?k - 1000 = ?m - 1000) }",
+        "SELECT c_name AS a, s_name AS b FROM customer JOIN supplier ON c_acctbal - 1000 = s_acctbal - 1000",
+    ),
     "value_eq_only": (
         'SELECT ?s ?n WHERE { ?x t:s_name ?s ; t:s_nationkey ?k . ?y t:n_name ?n ; t:n_nationkey ?m FILTER(?k = ?m) }',
         "SELECT s_name AS s, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey",

@@ -10,12 +10,13 @@ import math
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplane.functions.expressions import same_term
-from triplane.functions.terms import BLANK, DEC_KIND, FULL_IRI, IRI, LANG, SIMPLE, SIMPLE_KIND, XSD, Ex, Kind, Term, canonical, constant, kind_of
+from triplane.functions.terms import BLANK, DEC_KIND, DYNAMIC, FULL_IRI, IRI, LANG, SIMPLE, SIMPLE_KIND, XSD, Ex, Kind, Term, canonical, constant, kind_of, to_dyn
 from triplane.operators.joins import union
 from triplane.operators.solutions import Solutions, column_name, empty
 from triplane.plans.ast import Const, Slot, Triple, Var
@@ -143,15 +144,48 @@ class MappedTables:
             return empty(self.spark, variables)
         if len(star) > 1 or len(candidates[0]) == 1:
             return self._scan(star, [c[0] for c in candidates])
-        return reduce(union, [self._scan(star, [c]) for c in candidates[0]])
+        (t,) = star
+        if not (isinstance(t.p, Var) and isinstance(t.o, Var)):
+            return reduce(union, [self._scan(star, [c]) for c in candidates[0]])
+        tables = {id(c[1]): c[1] for c in candidates[0]}
+        return reduce(union, [self._unpivot(t, table, [c for c in candidates[0] if c[1] is table]) for table in tables.values()])
+
+    @staticmethod
+    def _keyed(table: Table) -> tuple[DataFrame, Column]:
+        """The table and its subject column. A row without a key is named by its file and place there, so that every scan
+        names it alike; tables that aren't files get a number, alike only within one scan."""
+        if table.key:
+            return table.df, F.col(f"`{table.key}`")
+        try:
+            place = table.df.withColumn("row_", F.concat_ws("-", "_metadata.file_name", "_metadata.row_index"))
+        except AnalysisException:
+            place = table.df.withColumn("row_", F.monotonically_increasing_id())
+        return place, F.col("row_")
+
+    def _unpivot(self, t: Triple, table: Table, found: list[tuple[str, Table, Kind, Column]]) -> Solutions:
+        """Any predicate with any object: one scan of the table, a row for each cell."""
+        df, subject = self._keyed(table)
+        if isinstance(t.s, Const):
+            df = df.where(self._subject(table, t.s.term))
+        else:
+            df = df.where(subject.isNotNull())
+        cells = F.array(*[F.struct(F.lit(p).alias("p"), to_dyn(Ex(kind, col)).alias("o")) for p, _, kind, col in found])
+        rows = df.select(subject.alias("s"), F.inline(cells)).where("o is not null")
+        columns = [(t.s, Ex(table.subject_kind, F.col("s"))), (t.p, Ex(FULL_IRI, F.col("p"))), (t.o, Ex(DYNAMIC, F.col("o")))]
+        bound: dict[str, Ex] = {}
+        for slot, x in columns:
+            if isinstance(slot, Const):
+                continue
+            if slot.name in bound:
+                rows = rows.where(same_term(bound[slot.name], x).col)
+            else:
+                bound[slot.name] = x
+        cols = [x.col.alias(column_name(v)) for v, x in bound.items()]
+        return Solutions(rows.select(F.lit(True).alias("unit"), *cols), {v: x.kind for v, x in bound.items()}, frozenset(bound))
 
     def _scan(self, star: list[Triple], found: list[tuple[str, Table, Kind, Column]]) -> Solutions:
         table = found[0][1]
-        df = table.df
-        if table.key:
-            subject = F.col(f"`{table.key}`")
-        else:
-            df, subject = df.withColumn("row_", F.monotonically_increasing_id()), F.col("row_")
+        df, subject = self._keyed(table)
         where: list[Column] = []
         bound: dict[str, Ex] = {}
 
