@@ -64,11 +64,13 @@ def format_reply_trees(messages: DataFrame, score: Column | None = None, best: i
     mean = F.col("total") / F.col("depth")
     ranked = leaves.withColumn("mean_score", mean).withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean_score"), "node")))
     chosen = materialize(ranked.where(F.col("branch") <= best).select("tree", "branch", F.col("node").alias("leaf"), "depth", "mean_score"))
-    # members of the chosen paths: from the leaf, jumps of 2**(rounds-1) ... 1 messages reach every ancestor once
+    # members of the chosen paths: from the leaf, jumps of 2**(rounds-1) ... 1 messages reach every ancestor once. A round
+    # reads the members before it once, so the plan grows with the number of rounds and no faster
     members = chosen.select("tree", "branch", F.col("leaf").alias("node"), F.lit(0).alias("back"))
     for k in range(len(jumps) - 2, -1, -1):
         jump = jumps[k].where("up is not null").select("tree", "node", "up")
-        members = members.union(members.join(jump, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
+        both = F.array(F.struct("node", "back"), F.struct(F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")))
+        members = members.join(jump, ["tree", "node"], "left").select("tree", "branch", F.inline(both)).where("node is not null")
     texts = members.join(base.select("tree", "node", "role", "text"), ["tree", "node"])
     lines = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text")))
     joined = texts.groupBy("tree", "branch").agg(lines.alias("m"))
