@@ -98,26 +98,29 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, group_tokens
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").cast("string").alias("source"))
     rank = F.xxhash64(F.lit(seed), "id", F.md5("text"))
-    counted = rows.select("source", rank.alias("rank"), token_count(F.col("text")).alias("n")).where("n > 0")
-    # fine groups by the top bits of the rank are merged into groups of about group_tokens; fine ones stay where they are larger
-    fine = materialize(counted.groupBy("source", F.shiftright("rank", 52).cast("int").alias("slice")).agg(F.sum("n").alias("n")))
-    totals = fine.groupBy("source").agg(F.sum("n").alias("tokens"))
-    w = Window.partitionBy("source").orderBy("slice")
-    placed = fine.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("group", F.floor(F.col("before") / group_tokens).cast("int"))
-    groups = materialize(placed.withColumn("offset", F.min("before").over(Window.partitionBy("source", "group"))).select("source", "slice", "group", "offset"))
-    # at most 4096 rows a source: the table is small unless there are very many sources, and then Spark shuffles it
-    g = groups.alias("g")
-    streams = rows.where("text is not null").withColumn("rank", rank).withColumn("slice", F.shiftright("rank", 52).cast("int")).alias("r")
-    streams = streams.join(g, F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.slice") == F.col("g.slice"))).select("r.source", "group", "offset", "id", "lang", "text", "rank")
-    streams = streams.repartition("source", "group").sortWithinPartitions("source", "group", "rank", "id", "text")
+    # a source's name as a key that is never null, so that joins and shuffles hash on the same columns
+    name = F.concat(F.when(F.col("source").isNull(), "-").otherwise("="), F.coalesce("source", F.lit("")))
+    counted = materialize(rows.select(name.alias("name"), "source", rank.alias("rank"), token_count(F.col("text")).alias("n")).where("n > 0"))
+    totals = materialize(counted.groupBy("name", "source").agg(F.sum("n").alias("tokens")))
+    # a source of T tokens has ceil(T / group_tokens) groups, each an equal range of ranks, whatever T
+    sizes = totals.select("name", F.ceil(F.col("tokens") / group_tokens).alias("groups"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        share = F.shiftrightunsigned("rank", 11) / float(1 << 53)
+        return df.join(sizes, "name").withColumn("group", F.least(F.floor(share * F.col("groups")), F.col("groups") - 1).cast("int")).drop("groups")
+
+    groups = grouped(counted).groupBy("name", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("name", "group", (F.sum("n").over(Window.partitionBy("name").orderBy("group")) - F.col("n")).alias("offset"))
+    # texts move once: the join finds them where the repartitioning put them
+    streams = grouped(rows.where("text is not null").withColumn("rank", rank).withColumn("name", name)).repartition("name", "group")
+    streams = streams.join(groups, ["name", "group"]).sortWithinPartitions("name", "group", "rank", "id", "text")
     parts = streams.select("source", "group", "offset", "id", "lang", "text").mapInArrow(lambda b: _cut(b, block_tokens), BLOCK)
     parts = materialize(parts)
     whole = parts.where("part = -1").select("source", "block", "n_tokens", "doc_ids", "lang", "text")
     joined = parts.where("part >= 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "doc_ids", "lang", "text"))).alias("p"))
     joined = joined.select("source", "block", "n_tokens", F.flatten(F.transform("p", lambda x: x["doc_ids"])).alias("doc_ids"), F.col("p")[0]["lang"].alias("lang"), F.concat_ws(BREAK, F.transform("p", lambda x: x["text"])).alias("text"))
     blocks = whole.unionByName(joined)
-    blocks._triplane_path = getattr(parts, "_triplane_path", None)
-    return blocks, totals
+    return blocks, totals.select("source", "tokens")
 
 
 def slots(spark, sources: list[str | None], counts: list[int], weights: list[float], total: int, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> DataFrame:
