@@ -50,3 +50,8 @@ def test_any_predicate_scans_a_table_once(spark):
 def test_filter_on_rows_without_a_key_reaches_the_scan(spark):
     got = plan(spark, "SELECT ?l ?q { ?l t:l_quantity ?q ; t:l_tax ?t FILTER(?t > 0.07e0) }")
     assert "GreaterThan(l_tax,0.07)" in got
+
+
+def test_kinds_prune_tables(spark):
+    got = plan(spark, "SELECT ?p ?o { ?n t:n_name \"NATION_5\" ; ?p ?o }")
+    assert got.count("FileScan") == 2  # a nation's other predicates are in its own table

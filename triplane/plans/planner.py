@@ -63,7 +63,7 @@ class Planner:
         ordered = order_patterns(stars, self.source.estimate, variables, constants) if len(stars) > 1 else stars
         out = self.source.match(ordered[0])
         for star in ordered[1:]:
-            out = inner_join(out, self.source.match(star))
+            out = inner_join(out, self.source.match(star, out.kinds))
         return out
 
 

@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triplane.functions.terms import Kind
 from triplane.operators.solutions import Solutions
 from triplane.plans.ast import Triple
 
@@ -19,8 +20,8 @@ class TripleSource(Protocol):
     def stars(self, triples: list[Triple]) -> list[list[Triple]]:
         """Patterns partitioned into those that one scan can answer together."""
 
-    def match(self, star: list[Triple]) -> Solutions:
-        """The solutions of one such part."""
+    def match(self, star: list[Triple], bound: dict[str, Kind] | None = None) -> Solutions:
+        """The solutions of one such part; without those that can't join what is already bound, as far as kinds tell."""
 
     def estimate(self, star: list[Triple]) -> float:
         """About how many solutions it has."""

@@ -13,7 +13,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplane.functions.terms import DYNAMIC, ID, IRI, XSD, Ex, Term, dyn_from_lexical, sort_keys
+from triplane.functions.terms import DYNAMIC, ID, IRI, XSD, Ex, Kind, Term, dyn_from_lexical, sort_keys
 from triplane.operators.solutions import Solutions, column_name
 from triplane.plans.ast import Const, QueryError, Triple, Var
 
@@ -53,7 +53,10 @@ def build(spark: SparkSession, statements: DataFrame, path: str, force: bool = F
         return terms.select(F.col("id").alias(name), *[F.col(a).alias(b) for a, b in on])
 
     triples = rows.join(ids("s", ("cat", "s_cat"), ("lex", "s_lex")).where("s_cat <= 1"), ["s_cat", "s_lex"]).join(ids("p", ("lex", "p_lex"), ("cat", "p_cat")).where(F.col("p_cat") == IRI), "p_lex")
-    triples = triples.join(ids("o", ("cat", "o_cat"), ("lex", "o_lex"), ("tag", "o_tag")), ["o_cat", "o_lex", "o_tag"]).select("s", "p", "o").distinct()
+    triples = triples.join(ids("o", ("cat", "o_cat"), ("lex", "o_lex"), ("tag", "o_tag")), ["o_cat", "o_lex", "o_tag"]).select("s", "p", "o")
+    # statements are distinct and terms unique, so these are too; written once, for both layouts sample and read them
+    triples.write.parquet(f"{path}/_ids")
+    triples = spark.read.parquet(f"{path}/_ids")
     for name, by in (("triples", "s"), ("inverse", "o")):
         triples.repartitionByRange("p", by).sortWithinPartitions("p", by).write.partitionBy("p").parquet(f"{path}/{name}")
     written = spark.read.schema("s bigint, o bigint, p bigint").parquet(f"{path}/triples")
@@ -61,7 +64,8 @@ def build(spark: SparkSession, statements: DataFrame, path: str, force: bool = F
     stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta.json"), True)
     stream.write(bytearray(json.dumps({"format": FORMAT, "version": VERSION}).encode()))
     stream.close()
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(raw), True)
+    for folder in (raw, f"{path}/_ids"):
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
     return EncodedStore(spark, path)
 
 
@@ -130,7 +134,7 @@ class EncodedStore:
     def stars(self, triples: list[Triple]) -> list[list[Triple]]:
         return [[t] for t in triples]
 
-    def match(self, star: list[Triple]) -> Solutions:
+    def match(self, star: list[Triple], bound: dict[str, Kind] | None = None) -> Solutions:
         (t,) = star
         df = self.inverse if isinstance(t.o, Const) and not isinstance(t.s, Const) else self.triples
         first: dict[str, str] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from triplane.functions.expressions import same_term
 from triplane.functions.terms import BLANK, DEC_KIND, DYNAMIC, FULL_IRI, IRI, LANG, SIMPLE, SIMPLE_KIND, XSD, Ex, Kind, Term, canonical, constant, kind_of, to_dyn
 from triplane.operators.joins import union
-from triplane.operators.solutions import Solutions, column_name, empty
+from triplane.operators.solutions import Solutions, column_name, disjoint, empty
 from triplane.plans.ast import Const, Slot, Triple, Var
 
 
@@ -137,8 +137,8 @@ class MappedTables:
             out.setdefault(fused, []).append(t)
         return list(out.values())
 
-    def match(self, star: list[Triple]) -> Solutions:
-        candidates = [self._candidates(t) for t in star]
+    def match(self, star: list[Triple], bound: dict[str, Kind] | None = None) -> Solutions:
+        candidates = [[c for c in self._candidates(t) if _joins(t, c[1].subject_kind, c[2], bound or {})] for t in star]
         variables = {v for t in star for v in t.variables()}
         if not all(candidates):
             return empty(self.spark, variables)
@@ -238,6 +238,11 @@ class MappedTables:
         return reduce(DataFrame.unionByName, out)
 
 
+def _joins(t: Triple, subject: Kind, object_: Kind, bound: dict[str, Kind]) -> bool:
+    """Whether a pattern's terms of these kinds can be those that its variables are bound to."""
+    return not any(isinstance(slot, Var) and slot.name in bound and disjoint(bound[slot.name], kind) for slot, kind in ((t.s, subject), (t.o, object_)))
+
+
 def _key_is(t: T.DataType, col: Column, text: str) -> Column | None:
     if isinstance(t, T.StringType):
         return col == text
@@ -249,8 +254,19 @@ def _key_is(t: T.DataType, col: Column, text: str) -> Column | None:
 VOCABULARY = "urn:t:"
 
 
-def relational_graph(spark: SparkSession, folder: str) -> MappedTables:
-    """The mapping of the relational tables of a data folder, vocabulary ``urn:t:``."""
+_graphs: dict[tuple[str, str], MappedTables] = {}
+
+
+def relational_graph(spark: SparkSession, folder: str, refresh: bool = False) -> MappedTables:
+    """The mapping of the relational tables of a data folder, vocabulary ``urn:t:``. A session keeps it, with the files found
+    at first use, like a table of its catalog; ``refresh`` looks again."""
+    at = spark.sparkContext.applicationId, folder
+    if refresh or at not in _graphs:
+        _graphs[at] = _mapped(spark, folder)
+    return _graphs[at]
+
+
+def _mapped(spark: SparkSession, folder: str) -> MappedTables:
     v = VOCABULARY
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
     subject = {"region": "region/", "nation": "nation/", "customer": "customer/", "supplier": "supplier/", "part": "part/", "orders": "order/", "events": "event/", "documents": "doc/"}

@@ -11,7 +11,12 @@ from triplane.functions.terms import BLANK, IRI, LANG, OTHER, SIMPLE, category_c
 STATEMENT = "s_cat int, s_lex string, p_lex string, o_cat int, o_lex string, o_tag string"
 _IRI, _BLANK = r"<([^>]*)>", r"_:([^\s<\"]+?)"
 _LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?'
-LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*<([^>]*)>\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+#: One match finds all parts: subject's first character, IRI, blank label; predicate; object's first character, IRI, blank
+#: label, text, language, datatype.
+LINE = rf"^\s*(?=(.))(?:{_IRI}|{_BLANK})\s*<([^>]*)>\s*(?=(.))(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+#: The parts in a row, the text last, for it alone may hold the mark between them.
+_MARK = "\x01"
+_PARTS = "$1 $2 $3 $4 $5 $6 $7 $9 $10 $8".replace(" ", _MARK)
 
 
 def unescape(c: Column) -> Column:
@@ -34,16 +39,16 @@ def statements(lines: DataFrame, scope: str = "") -> DataFrame:
     error. scope: put before blank labels, so that files don't share them."""
     value = F.col("value")
     real = lines.where(~value.rlike(r"^\s*(#.*)?$"))
-    g = lambda i: F.regexp_extract(value, LINE, i)
-    ok = value.rlike(LINE)
-    iri_subject = value.rlike(r"^\s*<")
-    rest = F.regexp_extract(value, rf"^\s*(?:{_IRI}|{_BLANK})\s*<[^>]*>\s*(.)", 3)
-    o_cat = F.when(rest == "<", IRI).when(rest == "_", BLANK).otherwise(category_column(F.when(g(8) != "", g(8)), g(7)))
-    s_lex = F.when(iri_subject, unescape(g(1))).otherwise(F.concat(F.lit(scope), g(2)))
-    o_lex = F.when(rest == "<", unescape(g(4))).when(rest == "_", F.concat(F.lit(scope), g(5))).otherwise(unescape(g(6)))
-    tag = F.when(o_cat == LANG, F.lower(g(7))).when((o_cat > SIMPLE) & (o_cat <= OTHER), g(8)).otherwise("")
-    checked = F.when(ok, F.when(iri_subject, IRI).otherwise(BLANK)).otherwise(F.raise_error(F.concat(F.lit("not an N-Triples line: "), value)).cast("int"))
-    return real.select(checked.cast("int").alias("s_cat"), s_lex.alias("s_lex"), unescape(g(3)).alias("p_lex"), o_cat.cast("int").alias("o_cat"), o_lex.alias("o_lex"), tag.alias("o_tag"))
+    parts = F.split(F.regexp_replace(value, LINE, _PARTS), _MARK, 10)
+    # a column of its own, so that the expression runs once a line
+    cut = real.select(F.when(F.size(parts) == 10, parts).otherwise(F.array(F.raise_error(F.concat(F.lit("not an N-Triples line: "), value)).cast("string"))).alias("g"))
+    s_first, s_iri, s_blank, p, o_first, o_iri, o_blank, lang, kind, text = (F.col("g")[i] for i in range(10))
+    is_iri = s_first == "<"
+    o_cat = F.when(o_first == "<", IRI).when(o_first == "_", BLANK).otherwise(category_column(F.when(kind != "", kind), lang))
+    s_lex = F.when(is_iri, unescape(s_iri)).otherwise(F.concat(F.lit(scope), s_blank))
+    o_lex = F.when(o_first == "<", unescape(o_iri)).when(o_first == "_", F.concat(F.lit(scope), o_blank)).otherwise(unescape(text))
+    tag = F.when(o_cat == LANG, F.lower(lang)).when((o_cat > SIMPLE) & (o_cat <= OTHER), kind).otherwise("")
+    return cut.select(F.when(is_iri, IRI).otherwise(BLANK).cast("int").alias("s_cat"), s_lex.alias("s_lex"), unescape(p).alias("p_lex"), o_cat.cast("int").alias("o_cat"), o_lex.alias("o_lex"), tag.alias("o_tag"))
 
 
 def read(spark, path: str, scope: str = "") -> DataFrame:
