@@ -60,6 +60,9 @@ def test_mix(spark, make_docs, rows):
     a, b = (sorted(map(tuple, mix(d, {"web": 3.0, "book": 1.0, "absent": 5.0}, 32, 16, 96).collect()), key=repr) for d in (docs, docs.repartition(5)))
     assert a == b and len(a) == 96  # the same whatever the partitions
     assert {r[2] for r in a} == {"web", "book"}
+    merged = mix(docs, {"web": 3.0, "book": 1.0, "absent": 5.0}, 32, 16, 96, broadcast_slots=0)
+    assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, merged.collect()), key=repr) == a
     assert len(mix(docs, block_tokens=32).collect()) == token_blocks(docs, 32)[0].count()
     out = mixed_documents(docs, block_tokens=32)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]

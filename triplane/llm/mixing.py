@@ -22,6 +22,9 @@ from triplane.llm.packing import TOKEN, token_count
 from triplane.llm.tables import arrow_batches, materialize
 
 BLOCK_TOKENS, SHARD_BLOCKS, GROUP_TOKENS = 512, 256, 1 << 20
+#: Slots, rows of some 60 bytes, that are broadcast to the blocks at most; a merge join takes over beyond. The planner would
+#: judge by the few rows that slots are drawn from.
+BROADCAST_SLOTS = 500_000
 #: Without given weights a source's weight is its tokens to this power, so small sources gain.
 TEMPERATURE = 0.7
 BREAK = "\n\n"
@@ -158,7 +161,7 @@ def slots(spark, sources: list[str | None], counts: list[int], weights: list[flo
     return one.mapInArrow(place, "shard long, slot long, source string, pass long, block long")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, total: int | None = None, temperature: float = TEMPERATURE, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, total: int | None = None, temperature: float = TEMPERATURE, seed: int = 1, broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
     """(shard, slot, source, pass, block, n_tokens, doc_ids, lang, text), a row for each output slot.
 
     ``total`` slots, as many as there are blocks unless given. Sources without weight, and weights without documents, play
@@ -172,7 +175,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_t
     share = [weights[r["source"]] if weights is not None else float(r["tokens"]) ** temperature for r in found]
     if not found:
         return blocks.where(F.lit(False)).selectExpr("0L as shard", "0L as slot", "source", "0L as pass", "block", "n_tokens", "doc_ids", "lang", "text")
-    wanted = slots(spark, sources, counts, share, total if total is not None else sum(counts), shard_blocks, seed).alias("w")
+    total = total if total is not None else sum(counts)
+    wanted = slots(spark, sources, counts, share, total, shard_blocks, seed).alias("w")
+    wanted = F.broadcast(wanted) if total <= broadcast_slots else wanted.hint("merge")
     b = blocks.alias("b")
     return wanted.join(b, F.col("w.source").eqNullSafe(F.col("b.source")) & (F.col("w.block") == F.col("b.block"))).select("shard", "slot", "w.source", "pass", "w.block", "n_tokens", "doc_ids", "b.lang", "b.text")
 
