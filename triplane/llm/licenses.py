@@ -220,7 +220,8 @@ def detect(text: str | None) -> list[tuple[int, int, int]]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, license, priority, start, end, matched), a row for each detection that stays; start and end in
-    characters. Rows of docs without any give none; repeated rows and null ids are scanned like others. Map-only."""
+    characters. Rows of docs without any give none; repeated rows and null ids are scanned like others, long texts whole. No docs
+    give no rows; other columns play no part. Map-only."""
     arrow_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 

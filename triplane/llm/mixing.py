@@ -165,7 +165,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_t
     """(shard, slot, source, pass, block, n_tokens, doc_ids, lang, text), a row for each output slot.
 
     ``total`` slots, as many as there are blocks unless given. Sources without weight, and weights without documents, play
-    no part. No documents give no rows."""
+    no part. No documents give no rows; columns beyond doc_id, text, lang and source play no part."""
     blocks, totals = token_blocks(docs, block_tokens, seed=seed)
     found = sorted(totals.collect(), key=lambda r: (r["source"] is not None, r["source"] or ""))  # one row a source
     if weights is not None:

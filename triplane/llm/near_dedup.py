@@ -66,7 +66,9 @@ def duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
 
     A group is a connected component of exact and verified near copies. Its row with the least doc_id (null after all
     others; then least MD5) is kept and named by kept_*. ``repeated``: the row is the kept one and occurs more than once
-    in docs; one of its rows stays. Null texts belong to no group. Texts without words match exact copies only.
+    in docs; one of its rows stays. Null texts belong to no group. Texts without words (empty ones too) match exact copies
+    only. Long texts are hashed in pieces, whole. Rows that tie in all of this are the same row. No docs give no rows; columns
+    beyond id and text play no part.
     """
     spark = docs.sparkSession
     arrow_batches(spark)

@@ -43,7 +43,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
     starts and lengths are token positions within the documents, in the order of doc_ids. A document over capacity gives
     pieces of capacity tokens, and what is left over is packed like any document. Rows without tokens (null, empty or
     blank texts) are in no bin. Null ids and repeated rows are packed like others. Equal lengths go by id, then start.
-    Only ids and lengths are shuffled, so a group is small whatever its texts.
+    Only ids and lengths are shuffled, so a group is small whatever its texts. No docs give no bins; other columns play no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("h"), token_count(F.col(text_col)).alias("n")).where("n > 0")
     groups = max(1, -(-rows.count() // group_docs))

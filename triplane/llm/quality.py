@@ -148,7 +148,8 @@ def _judged(docs: DataFrame, folder: str, text_col: str, lang_col: str) -> tuple
 
 def score_quality(docs: DataFrame, folder: str = VOCAB_DIR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, band, n_tokens, chars_per_token, byte_share, token_entropy, keep) for each row. Null and empty texts are
-    rejected (their measures are null, or 0 tokens); texts under LEAST_TOKENS tokens are kept. Null languages go by script."""
+    rejected (their measures are null, or 0 tokens); texts under LEAST_TOKENS tokens are kept. Null languages go by script. Long
+    texts are measured whole; repeated rows and null ids are judged like others; no docs give no rows; other columns play no part."""
     judged, keep = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), folder, "text", "lang")
     f = F.col("fertility")
     null = F.col("text").isNull()

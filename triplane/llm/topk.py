@@ -99,6 +99,7 @@ def top_k(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_ro
     Rows of a null id, of a null or empty vector or with a null or non-finite element are neither queries nor neighbours.
     Vectors of different lengths aren't comparable: each length is searched by itself. A row is no neighbour of rows with
     its own id. Rows that repeat are queries and neighbours as often as they occur. Fewer than k candidates give fewer ranks.
+    No vectors give no rows; other columns play no part.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col).cast("array<double>")

@@ -155,13 +155,14 @@ def severity(text: Column | str, model: Model) -> Column:
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, expected_severity, toxic) for each row of docs. A null or empty text has no features: its severity is what
-    the thresholds alone give."""
+    the thresholds alone give. Long texts are read whole; repeated rows and null ids are scored like others; no docs give no
+    rows; other columns play no part."""
     arrow_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).alias("doc_id"), severity(F.col(text_col), model).alias("s"))
     return scored.select("doc_id", F.col("s.expected").alias("expected_severity"), (F.col("s.any") >= REJECT_AT).alias("toxic"))
 
 
 def filter_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without toxic rows."""
+    """docs, all columns, without toxic rows. Rows of null or empty text stay unless the thresholds alone reject them."""
     arrow_batches(docs.sparkSession)
     return docs.where(severity(F.col(text_col), model)["any"] < REJECT_AT)
