@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from triplane.llm.ngram_lm import STRENGTH, score_texts, suffix_array
+from triplane.llm.ngram_lm import STRENGTH, score_documents, score_texts, suffix_array
+from triplane.llm.queries import QUERIES
 from triplane.llm.words import hash_words
 
 SCHEMA = "item_id long, text string, q long, start int, length string"
@@ -68,3 +69,30 @@ def test_odd_queries(spark, corpus):
     assert score_texts(spark.createDataFrame([], SCHEMA), docs).collect() == []
     nothing = score_texts(spark.createDataFrame([(1, "a b", 0, 0, "")], SCHEMA), docs.where("false")).collect()
     assert [r["bits_per_word"] for r in nothing] == [0.0]
+
+
+def test_documents_under_all_others(spark, corpus, make_docs, odd_rows):
+    rows = [(100 + i, t, "en", "web") for i, t in enumerate([*corpus, corpus[5], corpus[7] + " zz " + corpus[5], "aa aa aa aa aa", "z y x"])] + [r for r in odd_rows if r[0] != 7]
+    for block, starts in ((300, 1000),):
+        got = score_documents(make_docs(rows).repartition(3), block_words=block, pass_starts=starts).collect()
+        assert sorted((r["item_id"] for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+        got = {r["item_id"]: r for r in got}
+        for at, (i, text, *_) in enumerate(rows):
+            if i is None or i == 1:  # ids of several rows
+                continue
+            n = len(hash_words([text]).hashes)
+            assert got[i]["n_tokens"] == n
+            if not n:
+                assert got[i]["bits_per_word"] is None
+                continue
+            _, bits, longest = brute(text, [r[1] for j, r in enumerate(rows) if j != at])
+            assert got[i]["longest_context"] == longest
+            assert got[i]["bits_per_word"] == pytest.approx(bits)
+    assert score_documents(make_docs([])).collect() == []
+    assert [r["bits_per_word"] for r in score_documents(make_docs([(1, "a b", "en", "web")])).collect()] == [0.0]
+
+
+def test_query_scores_every_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = QUERIES["op9_ngram_lm"](spark, "/root/testdata/sf0.001").select("item_id").collect()
+    assert sorted(r[0] for r in got) == sorted(r[0] for r in docs.select("doc_id").collect())

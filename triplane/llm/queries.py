@@ -62,6 +62,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the language model of all the others."""
+    from triplane.llm.ngram_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_lm_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage under the language model of all documents."""
     from triplane.llm.ngram_lm import score_texts
 
@@ -74,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_near_dedup, op3_wrappers, op4_quality, op5_packing, op6_toxicity, op7_licenses, op8_topk, op9_ngram_lm, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_near_dedup, op3_wrappers, op4_quality, op5_packing, op6_toxicity, op7_licenses, op8_topk, op9_ngram_lm, op9_ngram_lm_benchmark, op10_mixing)}
 
 _TOPK_SQL = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
