@@ -33,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks, as rows of documents, drawn by source weights."""
+    """The pieces of documents in token blocks drawn by source weights, a row for each piece of each slot."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of blocks: the training sequences."""
+    """Bins of pieces: the training sequences."""
     return pack(docs)
 
 

@@ -74,3 +74,14 @@ def test_long_and_empty(spark, make_docs, odd_rows):
     assert sum(b["n_tokens"] for b in blocks.collect()) == 40_000
     assert mix(make_docs([])).collect() == []
     assert mixed_documents(make_docs([(1, None, "en", "a"), (2, " ", "en", "a")])).collect() == []
+
+
+def test_every_document_of_a_block_has_a_row(spark, make_docs, rows):
+    langs = ["en", "de", "fr", None]
+    docs = [(i, None if x is None else f"{x}\n\né{n}", langs[n % 4], source) for n, (i, x, _, source) in enumerate(rows)]
+    blocks = mix(make_docs(docs), block_tokens=32).collect()
+    got = mixed_documents(make_docs(docs), block_tokens=32).collect()
+    assert Counter(i for b in blocks for i in b["doc_ids"]) == Counter(r["doc_id"] for r in got)
+    assert sum((Counter(tokens(b["text"])) for b in blocks), Counter()) == sum((Counter(tokens(r["text"])) for r in got), Counter())
+    whole = {(i, lang, source, x) for i, x, lang, source in docs if x}
+    assert all(any((r["doc_id"], r["lang"], r["source"]) == w[:3] and r["text"] in w[3] for w in whole) for r in got)

@@ -29,7 +29,7 @@ BROADCAST_SLOTS = 500_000
 TEMPERATURE = 0.7
 BREAK = "\n\n"
 _PIECE = re.compile(TOKEN)
-BLOCK = "source string, block long, part int, n_tokens long, doc_ids array<long>, lang string, text string"
+BLOCK = "source string, block long, part int, n_tokens long, doc_ids array<long>, langs array<string>, chars array<int>, lang string, text string"
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -53,11 +53,11 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _cut(batches, block_tokens: int):
     """Parts of blocks from rows in stream order. A block wholly inside a group is part -1; others are numbered by group."""
-    open_ = None  # source, group, block, tokens held of it, tokens it began with, texts, ids, lang
+    open_ = None  # source, group, block, tokens held of it, tokens it began with, texts, ids, lang, langs
 
     def close(state, full: bool):
-        source, group, block, held, began, texts, ids, lang = state
-        return source, block, -1 if full and began == 0 else group, held - began, ids, lang, BREAK.join(texts)
+        source, group, block, held, began, texts, ids, lang, langs = state
+        return source, block, -1 if full and began == 0 else group, held - began, ids, langs, [len(t) for t in texts], lang, BREAK.join(texts)
 
     for batch in batches:
         out = []
@@ -68,7 +68,7 @@ def _cut(batches, block_tokens: int):
                 open_ = None
             if open_ is None:
                 began = offset % block_tokens
-                open_ = [source, group, offset // block_tokens, began, began, [], [], lang]
+                open_ = [source, group, offset // block_tokens, began, began, [], [], lang, []]
             starts = [m.start() for m in _PIECE.finditer(text)]
             at = 0
             while at < len(starts):
@@ -78,11 +78,12 @@ def _cut(batches, block_tokens: int):
                 end = starts[at + take] if at + take < len(starts) else len(text)
                 open_[5].append(text[starts[at] if at else 0 : end])
                 open_[6].append(id_)
+                open_[8].append(lang)
                 open_[3] += take
                 at += take
                 if open_[3] == block_tokens:
                     out.append(close(open_, True))
-                    open_ = [source, group, open_[2] + 1, 0, 0, [], [], lang]
+                    open_ = [source, group, open_[2] + 1, 0, 0, [], [], lang, []]
         if out:
             yield _batch(out)
     if open_ is not None and open_[3] > open_[4]:
@@ -90,14 +91,14 @@ def _cut(batches, block_tokens: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    source, block, part, n, ids, lang, text = map(list, zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(lang, pa.string()), pa.array(text, pa.string())], ["source", "block", "part", "n_tokens", "doc_ids", "lang", "text"])
+    source, block, part, n, ids, langs, chars, lang, text = map(list, zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(langs, pa.list_(pa.string())), pa.array(chars, pa.list_(pa.int32())), pa.array(lang, pa.string()), pa.array(text, pa.string())], ["source", "block", "part", "n_tokens", "doc_ids", "langs", "chars", "lang", "text"])
 
 
 def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, group_tokens: int = GROUP_TOKENS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(blocks, totals): blocks (source, block, n_tokens, doc_ids, lang, text) of each source numbered from 0, the last of a
+    """(blocks, totals): blocks (source, block, n_tokens, doc_ids, langs, chars, lang, text) of each source numbered from 0, the last of a
     source possibly short; totals (source, tokens). docs needs doc_id, text, lang and source; a null source is a source of
-    its own; rows without tokens are in no block. doc_ids are in order of their text; lang is the first document's."""
+    its own; rows without tokens are in no block. doc_ids, with their langs and the characters of their pieces, are in order of their text; lang is the first document's."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.col("lang").alias("lang"), F.col("source").cast("string").alias("source"))
     rank = F.xxhash64(F.lit(seed), "id", F.md5("text"))
@@ -119,9 +120,9 @@ def token_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, group_tokens
     streams = streams.join(groups, ["name", "group"]).sortWithinPartitions("name", "group", "rank", "id", "text")
     parts = streams.select("source", "group", "offset", "id", "lang", "text").mapInArrow(lambda b: _cut(b, block_tokens), BLOCK)
     parts = materialize(parts)
-    whole = parts.where("part = -1").select("source", "block", "n_tokens", "doc_ids", "lang", "text")
-    joined = parts.where("part >= 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "doc_ids", "lang", "text"))).alias("p"))
-    joined = joined.select("source", "block", "n_tokens", F.flatten(F.transform("p", lambda x: x["doc_ids"])).alias("doc_ids"), F.col("p")[0]["lang"].alias("lang"), F.concat_ws(BREAK, F.transform("p", lambda x: x["text"])).alias("text"))
+    whole = parts.where("part = -1").select("source", "block", "n_tokens", "doc_ids", "langs", "chars", "lang", "text")
+    joined = parts.where("part >= 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("part", "doc_ids", "langs", "chars", "lang", "text"))).alias("p"))
+    joined = joined.select("source", "block", "n_tokens", *[F.flatten(F.transform("p", lambda x: x[c])).alias(c) for c in ("doc_ids", "langs", "chars")], F.col("p")[0]["lang"].alias("lang"), F.concat_ws(BREAK, F.transform("p", lambda x: x["text"])).alias("text"))
     blocks = whole.unionByName(joined)
     return blocks, totals.select("source", "tokens")
 
@@ -166,6 +167,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_t
 
     ``total`` slots, as many as there are blocks unless given. Sources without weight, and weights without documents, play
     no part. No documents give no rows; columns beyond doc_id, text, lang and source play no part."""
+    return _mixed(docs, weights, block_tokens, shard_blocks, total, temperature, seed, broadcast_slots).drop("langs", "chars")
+
+
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, total: int | None = None, temperature: float = TEMPERATURE, seed: int = 1, broadcast_slots: int = BROADCAST_SLOTS) -> DataFrame:
+    """``mix`` with the langs and chars of each block's pieces."""
     blocks, totals = token_blocks(docs, block_tokens, seed=seed)
     found = sorted(totals.collect(), key=lambda r: (r["source"] is not None, r["source"] or ""))  # one row a source
     if weights is not None:
@@ -174,17 +180,20 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_t
     sources, counts = [r["source"] for r in found], [-(-r["tokens"] // block_tokens) for r in found]
     share = [weights[r["source"]] if weights is not None else float(r["tokens"]) ** temperature for r in found]
     if not found:
-        return blocks.where(F.lit(False)).selectExpr("0L as shard", "0L as slot", "source", "0L as pass", "block", "n_tokens", "doc_ids", "lang", "text")
+        return blocks.where(F.lit(False)).selectExpr("0L as shard", "0L as slot", "source", "0L as pass", "block", "n_tokens", "doc_ids", "langs", "chars", "lang", "text")
     total = total if total is not None else sum(counts)
     wanted = slots(spark, sources, counts, share, total, shard_blocks, seed).alias("w")
     wanted = F.broadcast(wanted) if total <= broadcast_slots else wanted.hint("merge")
     b = blocks.alias("b")
-    return wanted.join(b, F.col("w.source").eqNullSafe(F.col("b.source")) & (F.col("w.block") == F.col("b.block"))).select("shard", "slot", "w.source", "pass", "w.block", "n_tokens", "doc_ids", "b.lang", "b.text")
+    return wanted.join(b, F.col("w.source").eqNullSafe(F.col("b.source")) & (F.col("w.block") == F.col("b.block"))).select("shard", "slot", "w.source", "pass", "w.block", "n_tokens", "doc_ids", "langs", "chars", "b.lang", "b.text")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """``mix`` as rows of documents, each a block: doc_id and lang of its first document, its source, text and length. A
-    block that several slots hold is there as often. Columns of docs beyond doc_id, text, lang, source and n_chars are
-    dropped, for a block has many documents."""
-    out = mix(docs, **how)
-    return out.select(F.col("doc_ids")[0].alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """``mix`` as rows of documents, one for each piece of a document in each slot: its doc_id, lang and source, the piece's
+    text and length. A block that several slots hold is there as often. Columns of docs beyond doc_id, text, lang, source and
+    n_chars are dropped, for a piece isn't the document that they describe."""
+    # a piece begins behind those before it in its block, each with a break
+    piece = F.transform("doc_ids", lambda x, i: F.struct(x.alias("doc_id"), F.get("langs", i).alias("lang"), F.get("chars", i).alias("n"), F.aggregate(F.slice("chars", F.lit(1), i), F.lit(1), lambda a, n: a + n + F.lit(len(BREAK))).alias("at")))
+    out = _mixed(docs, **how).select("source", "text", F.explode(piece).alias("p"))
+    out = out.select(F.col("p.doc_id").alias("doc_id"), F.substring("text", F.col("p.at"), F.col("p.n")).alias("text"), F.col("p.lang").alias("lang"), "source")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
