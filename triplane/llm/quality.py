@@ -4,9 +4,16 @@ Public vocabularies, read from ``vocab_dir``, measure each whole text:
 
 * ``chars_per_token``: characters per token of the byte-level BPE vocabulary;
 * ``token_entropy``: Shannon entropy, in bits, of its token ids within the text;
-* ``byte_share``: share of byte-fallback tokens among the piece vocabulary's tokens, word by word.
+* ``byte_share``: share of byte-fallback tokens among the piece vocabulary's tokens of the text with each run of white
+  space as one space: line breaks and tabs have no piece of their own and aren't what the share is to show.
 
 A text is rejected when a measure leaves the band of its language or, where the language has none, of its main script.
+One rule holds for texts of every length, for what n tokens can show depends on n:
+
+* ``chars_per_token`` may leave its band by ``SPREAD`` characters over the root of n, about a standard error of a mean;
+* ``byte_share`` may pass its most by ``Z`` standard errors of a share of n tokens;
+* ``token_entropy`` must reach the band's least or, if that is less, the band's share of log2(n), the most n tokens can have.
+
 Each batch's distinct words go through the piece vocabulary once.
 """
 
@@ -14,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,28 +34,28 @@ from triplane.llm.tables import arrow_batches
 VOCAB_DIR = "/opt/tokenizers"
 BPE_FILE, PIECE_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of fewer tokens are too short to judge and pass.
-LEAST_TOKENS = 16
-#: Texts of fewer tokens have no meaningful entropy: it is at most the logarithm of their number.
-LEAST_ENTROPY_TOKENS = 128
-
-#: By language, then by script: (chars_per_token least, most; byte_share most; token_entropy least). A language's band
-#: follows running text of that language; a script's is wider, for several languages share it.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.75, 8.0, 0.02, 5.0),
-    "de": (1.65, 8.0, 0.02, 5.0),
-    "fr": (1.40, 8.0, 0.02, 5.0),
-    "es": (1.50, 8.0, 0.02, 5.0),
-    "Latin": (1.40, 10.0, 0.05, 4.0),
-    "Greek": (0.60, 4.0, 0.10, 3.5),
-    "Cyrillic": (0.60, 5.0, 0.05, 3.5),
-    "Hebrew": (0.50, 4.0, 0.20, 3.5),
-    "Arabic": (0.50, 4.0, 0.20, 3.5),
-    "Devanagari": (0.25, 4.0, 0.40, 3.5),
-    "Hangul": (0.25, 3.0, 0.60, 3.5),
-    "Kana": (0.30, 3.0, 0.50, 3.5),
-    "Han": (0.30, 3.0, 0.60, 3.5),
-    "other": (0.20, 12.0, 0.90, 3.0),
+#: Characters by which the mean length of one token may lie outside its band; standard errors that a share may.
+SPREAD, Z = 1.0, 3.0
+#: White space in runs of this length goes to the merges directly, for the pattern's engine recurses once a character there.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+#: By language, then by script: (chars_per_token least, most; byte_share most; token_entropy least, in bits and as a share
+#: of log2(n)). A language's band follows running text of that language; a script's is wider, for several languages share it.
+BANDS: dict[str, tuple[float, float, float, float, float]] = {
+    "en": (1.75, 8.0, 0.02, 5.0, 0.72),
+    "de": (1.65, 8.0, 0.02, 5.0, 0.72),
+    "fr": (1.40, 8.0, 0.02, 5.0, 0.72),
+    "es": (1.50, 8.0, 0.02, 5.0, 0.72),
+    "Latin": (1.40, 10.0, 0.05, 4.0, 0.65),
+    "Greek": (0.60, 4.0, 0.10, 3.5, 0.60),
+    "Cyrillic": (0.60, 5.0, 0.05, 3.5, 0.60),
+    "Hebrew": (0.50, 4.0, 0.20, 3.5, 0.60),
+    "Arabic": (0.50, 4.0, 0.20, 3.5, 0.60),
+    "Devanagari": (0.25, 4.0, 0.40, 3.5, 0.60),
+    "Hangul": (0.25, 3.0, 0.60, 3.5, 0.60),
+    "Kana": (0.30, 3.0, 0.50, 3.5, 0.60),
+    "Han": (0.30, 3.0, 0.60, 3.5, 0.60),
+    "other": (0.20, 12.0, 0.90, 3.0, 0.50),
 }
 _SCRIPTS = {
     "Latin": "A-Za-zªºÀ-ɏḀ-ỿ",
@@ -77,6 +85,18 @@ def _vocabularies(folder: str) -> tuple:
     return _loaded[folder]
 
 
+def bpe_tokens(bpe, text: str) -> list[int]:
+    """``bpe.encode_ordinary(text)``, whatever its runs of white space: of a run the pattern takes all but the last character
+    as one piece, or all at the text's end, and no piece reaches into a run from the left."""
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += bpe.encode_ordinary(text[at : m.start()])
+        out += bpe._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + bpe.encode_ordinary(text[at:])
+
+
 def measure(texts: list[str | None], folder: str = VOCAB_DIR) -> pd.DataFrame:
     """The measures of each text; null for null texts, zero tokens and null ratios for empty ones."""
     bpe, pieces, fallback = _vocabularies(folder)
@@ -87,7 +107,7 @@ def measure(texts: list[str | None], folder: str = VOCAB_DIR) -> pd.DataFrame:
     for i, text in enumerate(texts):
         if not text:
             continue
-        ids = np.array(bpe.encode_ordinary(text), np.int64)
+        ids = np.array(bpe_tokens(bpe, text), np.int64)
         tokens[i] = len(ids)
         per = np.bincount(ids)
         per = per[per > 0]
@@ -142,14 +162,19 @@ def _judged(docs: DataFrame, folder: str, text_col: str, lang_col: str) -> tuple
     text = F.col(text_col)
     out = docs.withColumn(name, F.struct(fertility(text, folder).alias("m"), band_key(F.col(lang_col), text).alias("band")))
     m, key = F.col(name)["m"], F.col(name)["band"]
-    fits = m["chars_per_token"].between(_bound(key, 0), _bound(key, 1)) & F.coalesce(m["byte_share"] <= _bound(key, 2), F.lit(True)) & ((m["n_tokens"] < LEAST_ENTROPY_TOKENS) | (m["token_entropy"] >= _bound(key, 3)))
-    return out, text.isNotNull() & (m["n_tokens"] > 0) & ((m["n_tokens"] < LEAST_TOKENS) | fits)
+    n = F.greatest(m["n_tokens"], F.lit(1)).cast("double")
+    wide = F.lit(SPREAD) / F.sqrt(n)
+    most = _bound(key, 2)
+    fits = m["chars_per_token"].between(_bound(key, 0) - wide, _bound(key, 1) + wide)
+    fits &= F.coalesce(m["byte_share"] <= most + F.lit(Z) * F.sqrt(most * (1 - most) / n), F.lit(True))
+    fits &= m["token_entropy"] >= F.least(_bound(key, 3), _bound(key, 4) * F.log2(n)) - 1e-9
+    return out, F.coalesce(text.isNotNull() & (m["n_tokens"] > 0) & fits, F.lit(False))
 
 
 def score_quality(docs: DataFrame, folder: str = VOCAB_DIR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, band, n_tokens, chars_per_token, byte_share, token_entropy, keep) for each row. Null and empty texts are
-    rejected (their measures are null, or 0 tokens); texts under LEAST_TOKENS tokens are kept. Null languages go by script. Long
-    texts are measured whole; repeated rows and null ids are judged like others; no docs give no rows; other columns play no part."""
+    rejected (their measures are null, or 0 tokens); short ones are judged like long ones, by the rule above. Null languages go by
+    script. Long texts are measured whole, long runs of one character too; repeated rows and null ids are judged like others; no docs give no rows; other columns play no part."""
     judged, keep = _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), folder, "text", "lang")
     f = F.col("fertility")
     null = F.col("text").isNull()
