@@ -1,25 +1,30 @@
-"""Exact top-k nearest neighbours of every vector (Euclidean), by a pivot-distance index.
+"""Exact top-k nearest neighbours (Euclidean) of stated queries among all vectors, by a pivot-distance index.
 
-Each vector is keyed by its nearest pivot and its distance to it. Runs of (pivot, distance) make shards of about
+Each vector is keyed by its nearest pivot and its distance to it. Ranges of (pivot, distance) make shards of about
 ``shard_rows`` vectors. A query first searches its own shard, which bounds its k-th distance by tau. Another shard, and in
 it another pivot's vectors, can only matter if the triangle inequality leaves room: a vector at distance r from pivot p is
 at least |d(q, p) - r| from q, and, as p is its nearest pivot, at least (d(q, p) - d(q, nearest pivot)) / 2. So a query goes
 only to shards that may hold something nearer than tau; there it takes pivots from the least bound up, cuts the annulus
 [d(q, p) - tau, d(q, p) + tau] out of the sorted distances, lowers tau with what it finds, and stops when the next bound is
 above tau. Nothing is approximate; where distances concentrate, as in many dimensions, bounds prune little and the search is
-a blocked comparison of all pairs.
+a blocked comparison of the queries with all vectors.
+
+Queries travel to shards, shards stay whole: one that more than ``query_rows`` queries reach is held once for each
+``query_rows`` of them, others once, so what is copied follows the queries that bounds let through.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triplane.llm.tables import materialize
+from triplane.llm.tables import materialize, release
 
 K, SHARD_ROWS, QUERY_ROWS = 10, 16_384, 16_384
+#: Distances, one for each query and annulus, that are held at a time while queries are routed.
+ROUTE_CELLS = 1 << 22
 #: Relative guard for rounding in bounds; distances that decide are computed directly.
 SLACK = 1e-9
 
@@ -93,20 +98,22 @@ def _frame(best: Best, q: np.ndarray) -> pd.DataFrame:
 FOUND = "q long, distance double, neighbor_id long"
 
 
-def top_k(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest of each row, ties by neighbor_id, rank from 1.
+def top_k(vectors: DataFrame, asked: Column | None = None, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest of each query among all rows, ties by neighbor_id, rank from 1.
 
-    Rows of a null id, of a null or empty vector or with a null or non-finite element are neither queries nor neighbours.
-    Vectors of different lengths aren't comparable: each length is searched by itself. A row is no neighbour of rows with
-    its own id. Rows that repeat are queries and neighbours as often as they occur. Fewer than k candidates give fewer ranks.
-    No vectors give no rows; other columns play no part.
+    ``asked``: a condition on vectors that queries meet; every row is one where it is not given. Ids are whole numbers (or
+    strings of them; others raise). Rows of a null id, of a null or empty vector or with a null or non-finite element are neither
+    queries nor neighbours. Vectors of different lengths aren't comparable: each length is searched by itself. A row is no
+    neighbour of rows with its own id. Rows that repeat are queries and neighbours as often as they occur. Fewer than k
+    candidates give fewer ranks. No vectors, or none asked for, give no rows; other columns play no part.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
+    query = F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(True)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), query.alias("query"))
     rows = rows.where("id is not null and size(x) > 0").where(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    lengths = sorted(rows.groupBy(F.size("x").alias("n")).count().collect())  # one row a vector length
-    results = [_top_k(spark, rows.where(F.size("x") == n), count, k, shard_rows, query_rows, pivots) for n, count in lengths]
+    lengths = sorted(rows.groupBy(F.size("x").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("query").alias("queries")).collect())  # one row a vector length
+    results = [_top_k(spark, rows.where(F.size("x") == n), count, k, shard_rows, query_rows, pivots) for n, count, queries in lengths if queries]
     if not results:
         return spark.createDataFrame([], "vec_id long, rank int, neighbor_id long, distance double")
     out = results[0]
@@ -125,60 +132,56 @@ def _top_k(spark, rows: DataFrame, count: int, k: int, shard_rows: int, query_ro
         for df in batches:
             v = np.stack(df["x"].to_numpy())
             d = _distances(v, pivots)
-            yield pd.DataFrame({"id": df["id"], "x": df["x"], "pivot": d.argmin(1), "r": d.min(1)})
-
-    sized = materialize(rows.mapInPandas(keyed, "id long, x array<double>, pivot int, r double"))
-    w = Window.partitionBy("pivot").orderBy("r", "id")
-    per = {r["pivot"]: r["count"] for r in sized.groupBy("pivot").count().collect()}
-    # pivots in order of their number fill shards; one of more than shard_rows is cut into annuli of equal counts
-    first, cuts, shard, held = {}, {}, 0, 0
-    for p in sorted(per):
-        if held and held + per[p] > shard_rows:
-            shard, held = shard + 1, 0
-        first[p], cuts[p] = shard, -(-per[p] // shard_rows)
-        held += per[p]
-        if cuts[p] > 1:
-            shard, held = shard + cuts[p], 0
-    places = spark.createDataFrame([(int(p), first[p], -(-per[p] // cuts[p])) for p in per], "pivot int, shard int, rows int")
-    numbered = sized.withColumn("n", F.row_number().over(w)).join(F.broadcast(places), "pivot")  # one row a pivot
-    index = materialize(numbered.select((F.col("shard") + F.floor((F.col("n") - 1) / F.col("rows"))).cast("int").alias("shard"), (F.col("pivot").cast("long") * (1 << 40) + F.col("n")).alias("q"), "id", "x", "pivot", "r"))
-
-    def own(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["pivot", "r"])
-        v, ids = np.stack(df["x"].to_numpy()), df["id"].to_numpy()
-        best = _search(pivots, v, ids, df["pivot"].to_numpy(), np.full(len(df), np.inf), df["pivot"].to_numpy(), df["r"].to_numpy(), v, ids, k)
-        return _frame(best, df["q"].to_numpy())
-
-    local = materialize(index.groupBy("shard").applyInPandas(own, FOUND))
-    tau = local.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("tau"))
-    rings = index.groupBy("shard", "pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).orderBy("shard", "pivot").toPandas()  # one row an annulus
-    ring_shard, ring_pivot, ring_lo, ring_hi = (rings[c].to_numpy() for c in ("shard", "pivot", "lo", "hi"))
-    shards, starts = np.unique(ring_shard, return_index=True)
-    chunks = -(-count // query_rows)
+            yield pd.DataFrame({"id": df["id"], "x": df["x"], "query": df["query"], "pivot": d.argmin(1), "r": d.min(1)})
 
-    def routed(batches):
-        for df in batches:
-            v, near = np.stack(df["x"].to_numpy()), df["pivot"].to_numpy()
-            tau = df["tau"].fillna(np.inf).to_numpy()
-            to = _distances(v, pivots)
-            mine = to[np.arange(len(v)), near]
-            d = to[:, ring_pivot]
-            bound = np.maximum.reduce([d - ring_hi, ring_lo - d, (d - mine[:, None]) / 2])
-            least = np.minimum.reduceat(bound, starts, axis=1)
-            r, s = np.nonzero((least <= (tau * (1 + SLACK) + SLACK)[:, None]) & (shards[None] != df["shard"].to_numpy()[:, None]))
-            take = df.iloc[r]
-            yield pd.DataFrame({"shard": shards[s], "chunk": (take["q"] % chunks).to_numpy(), "q": take["q"].to_numpy(), "id": take["id"].to_numpy(), "x": take["x"].to_numpy(), "pivot": take["pivot"].to_numpy(), "tau": tau[r]})
-
-    asked = index.join(tau, "q", "left").mapInPandas(routed, "shard int, chunk int, q long, id long, x array<double>, pivot int, tau double")
-    held = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sized = materialize(rows.mapInPandas(keyed, "id long, x array<double>, query boolean, pivot int, r double"))
+    # shards are ranges of (pivot, r): a pivot with many rows is cut into annuli, equal distances by id, small pivots share one
+    ranged = sized.repartitionByRange(max(1, -(-count // shard_rows)), "pivot", "r", "id").sortWithinPartitions("pivot", "r", "id")
+    index = materialize(ranged.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("q"), "id", "x", "query", "pivot", "r"))
+    release(sized)
+    queries = index.where("query")
 
     def visit(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
             return pd.DataFrame({"q": np.zeros(0, np.int64), "distance": np.zeros(0), "neighbor_id": np.zeros(0, np.int64)})
         shard, queries = shard.sort_values(["pivot", "r"]), queries.sort_values(["pivot", "q"])
-        best = _search(pivots, np.stack(queries["x"].to_numpy()), queries["id"].to_numpy(), queries["pivot"].to_numpy(), queries["tau"].to_numpy(), shard["pivot"].to_numpy(), shard["r"].to_numpy(), np.stack(shard["x"].to_numpy()), shard["id"].to_numpy(), k)
+        tau = queries["tau"].fillna(np.inf).to_numpy(dtype=float)
+        best = _search(pivots, np.stack(queries["x"].to_numpy()), queries["id"].to_numpy(), queries["pivot"].to_numpy(), tau, shard["pivot"].to_numpy(), shard["r"].to_numpy(), np.stack(shard["x"].to_numpy()), shard["id"].to_numpy(), k)
         return _frame(best, queries["q"].to_numpy())
 
-    remote = asked.groupBy("shard", "chunk").cogroup(held.groupBy("shard", "chunk")).applyInPandas(visit, FOUND)
-    ranked = local.union(remote).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
-    return ranked.join(index.select("q", F.col("id").alias("vec_id")), "q").select("vec_id", "rank", "neighbor_id", "distance")
+    def searched(asked: DataFrame) -> DataFrame:
+        """asked (shard, q, id, x, pivot, tau), a written table: what each finds in its shard."""
+        reached = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("chunks"))
+        sent = asked.join(reached, "shard").selectExpr("shard", "cast(pmod(xxhash64(q), chunks) as int) as chunk", "q", "id", "x", "pivot", "tau")
+        copies = reached.selectExpr("shard as at", "explode(sequence(0, chunks - 1)) as chunk")
+        held = index.join(copies, F.col("shard") == F.col("at")).select("shard", "chunk", "id", "x", "pivot", "r")
+        return sent.groupBy("shard", "chunk").cogroup(held.groupBy("shard", "chunk")).applyInPandas(visit, FOUND)
+
+    at_home = materialize(queries.select("shard", "q", "id", "x", "pivot", F.lit(None).cast("double").alias("tau")))
+    local = materialize(searched(at_home))
+    tau = local.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("tau"))
+    rings = index.groupBy("shard", "pivot").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).orderBy("shard", "pivot").toPandas()  # one row an annulus
+    ring_shard, ring_pivot, ring_lo, ring_hi = (rings[c].to_numpy() for c in ("shard", "pivot", "lo", "hi"))
+    shards, starts = np.unique(ring_shard, return_index=True)
+    step = max(1, ROUTE_CELLS // (len(rings) + len(pivots)))
+
+    def routed(batches):
+        for whole in batches:
+            for begin in range(0, len(whole), step):
+                df = whole.iloc[begin : begin + step]
+                v, near = np.stack(df["x"].to_numpy()), df["pivot"].to_numpy()
+                tau = df["tau"].fillna(np.inf).to_numpy(dtype=float)
+                to = _distances(v, pivots)
+                mine = to[np.arange(len(v)), near]
+                d = to[:, ring_pivot]
+                bound = np.maximum.reduce([d - ring_hi, ring_lo - d, (d - mine[:, None]) / 2])
+                least = np.minimum.reduceat(bound, starts, axis=1)
+                r, s = np.nonzero((least <= (tau * (1 + SLACK) + SLACK)[:, None]) & (shards[None] != df["shard"].to_numpy()[:, None]))
+                take = df.iloc[r]
+                yield pd.DataFrame({"shard": shards[s], "q": take["q"].to_numpy(), "id": take["id"].to_numpy(), "x": take["x"].to_numpy(), "pivot": take["pivot"].to_numpy(), "tau": tau[r]})
+
+    routes = queries.join(tau, "q", "left").select("shard", "q", "id", "x", "pivot", "tau").mapInPandas(routed, "shard int, q long, id long, x array<double>, pivot int, tau double")
+    abroad = materialize(routes)
+    both = local.union(searched(abroad))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))).where(F.col("rank") <= k)
+    return ranked.join(queries.select("q", F.col("id").alias("vec_id")), "q").select("vec_id", "rank", "neighbor_id", "distance")
