@@ -1,13 +1,15 @@
 """License scan: ordered signature rules, gated by keywords, resolved by priority and interval containment.
 
 A rule is (rule, licence, priority, keywords, pattern). One automaton over the lower-cased text finds which keywords occur;
-a rule's regular expression runs only if one of its keywords does. Detections are taken by priority, then length, then
+a rule's regular expression runs only if one of its keywords does. Every match of a rule holds one of its keywords: the tests
+prove it by expanding each pattern's alternatives. Detections are taken by priority, then length, then
 place, then rule order; one whose interval lies within that of a detection already taken, or contains it, is suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ NAMES: list[tuple[str, str, tuple[str, ...]]] = [
     ("ISC", rf"\bISC{S}Licen[sc]e", ("isc",)),
     ("BSD-4-Clause", rf"(?:4|four)[-\s]clause{S}BSD|BSD{S}4[-\s]Clause|original{S}BSD{S}Licen[sc]e", ("bsd",)),
     ("BSD-3-Clause", rf"(?:3|three)[-\s]clause{S}BSD|BSD{S}3[-\s]Clause|(?:new|revised|modified){S}BSD{S}Licen[sc]e", ("bsd",)),
-    ("BSD-2-Clause", rf"(?:2|two)[-\s]clause{S}BSD|BSD{S}2[-\s]Clause|(?:simplified|FreeBSD){S}(?:BSD{S})?Licen[sc]e", ("bsd",)),
+    ("BSD-2-Clause", rf"(?:2|two)[-\s]clause{S}BSD|BSD{S}2[-\s]Clause|(?:simplified|FreeBSD){S}(?:BSD{S})?Licen[sc]e", ("bsd", "simplified")),
     ("BSD-1-Clause", rf"(?:1|one)[-\s]clause{S}BSD|BSD{S}1[-\s]Clause", ("bsd",)),
     ("0BSD", rf"zero[-\s]clause{S}BSD|\b0BSD\b", ("bsd",)),
     ("MPL-2.0", rf"Mozilla{S}Public{S}Licen[sc]e(?:{V}|{S})2(?:\.0)?|\bMPL[-\s]?v?2(?:\.0)?\b", ("mozilla", "mpl")),
@@ -143,6 +145,49 @@ TEXTS: list[tuple[str, str, tuple[str, ...]]] = [
     ("NCSA", rf"deal{S}with{S}the{S}Software{S}without{S}restriction", ("restriction",)),
     ("OpenSSL", rf"developed{S}by{S}the{S}OpenSSL{S}Project", ("openssl",)),
     ("Apache-1.1", rf"This{S}product{S}includes{S}software{S}developed{S}by{S}the{S}Apache{S}Software{S}Foundation", ("apache",)),
+    ("MIT", rf"The{S}above{S}copyright{S}notice{S}and{S}this{S}permission{S}notice{S}shall{S}be{S}included", ("permission",)),
+    ("MIT", rf"THE{S}SOFTWARE{S}IS{S}PROVIDED{S}[\"'“]?AS{S}IS[\"'”]?,?{S}WITHOUT{S}WARRANTY{S}OF{S}ANY{S}KIND", ("warranty",)),
+    ("ISC", rf"THE{S}SOFTWARE{S}IS{S}PROVIDED{S}[\"'“]?AS{S}IS[\"'”]?{S}AND{S}THE{S}AUTHOR{S}DISCLAIMS", ("disclaims",)),
+    ("BSD-2-Clause", rf"Redistributions{S}of{S}source{S}code{S}must{S}retain{S}the{S}above{S}copyright", ("redistributions",)),
+    ("BSD-2-Clause", rf"Redistributions{S}in{S}binary{S}form{S}must{S}reproduce{S}the{S}above{S}copyright", ("redistributions",)),
+    ("BSD-3-Clause", rf"may{S}be{S}used{S}to{S}endorse{S}or{S}promote{S}products{S}derived{S}from{S}this{S}software", ("endorse",)),
+    ("BSD-4-Clause", rf"must{S}display{S}the{S}following{S}acknowledge?ment", ("acknowledg",)),
+    ("GPL-2.0", rf"GNU{S}GENERAL{S}PUBLIC{S}LICENSE{S}Version{S}2,{S}June{S}1991", ("june",)),
+    ("GPL-3.0", rf"GNU{S}GENERAL{S}PUBLIC{S}LICENSE{S}Version{S}3,{S}29{S}June{S}2007", ("june",)),
+    ("AGPL-3.0", rf"GNU{S}AFFERO{S}GENERAL{S}PUBLIC{S}LICENSE{S}Version{S}3,{S}19{S}November{S}2007", ("affero",)),
+    ("AGPL-3.0-or-later", rf"GNU{S}Affero{S}General{S}Public{S}Licen[sc]e{S}as{S}published{S}by{S}the{S}Free{S}Software{S}Foundation", ("affero",)),
+    ("GPL-1.0-or-later", rf"free{S}software;{S}you{S}can{S}redistribute{S}it{S}and/or{S}modify{S}it{S}under{S}the{S}terms{S}of{S}the{S}GNU{S}General{S}Public", ("redistribute",)),
+    ("LGPL-2.0-or-later", rf"free{S}software;{S}you{S}can{S}redistribute{S}it{S}and/or{S}modify{S}it{S}under{S}the{S}terms{S}of{S}the{S}GNU{S}(?:Lesser|Library){S}General", ("redistribute",)),
+    ("LGPL-3.0", rf"incorporates{S}the{S}terms{S}and{S}conditions{S}of{S}version{S}3{S}of{S}the{S}GNU{S}General", ("incorporates",)),
+    ("Apache-2.0", rf"distributed{S}under{S}the{S}Licen[sc]e{S}is{S}distributed{S}on{S}an{S}[\"'“]?AS{S}IS[\"'”]?{S}BASIS", ("basis",)),
+    ("Apache-2.0", rf"TERMS{S}AND{S}CONDITIONS{S}FOR{S}USE,{S}REPRODUCTION,{S}AND{S}DISTRIBUTION", ("reproduction",)),
+    ("MPL-2.0", rf"If{S}a{S}copy{S}of{S}the{S}MPL{S}was{S}not{S}distributed{S}with{S}this{S}file", ("mpl",)),
+    ("MPL-1.1", rf"The{S}contents{S}of{S}this{S}file{S}are{S}subject{S}to{S}the{S}Mozilla{S}Public{S}Licen[sc]e{S}Version{S}1\.1", ("mozilla",)),
+    ("EPL-2.0", rf"accompanying{S}materials{S}are{S}made{S}available{S}under{S}the{S}terms{S}of{S}the{S}Eclipse{S}Public{S}Licen[sc]e{S}2\.0", ("accompanying",)),
+    ("CDDL-1.0", rf"The{S}contents{S}of{S}this{S}file{S}are{S}subject{S}to{S}the{S}terms{S}of{S}the{S}Common{S}Development{S}and{S}Distribution", ("development",)),
+    ("Zlib", rf"The{S}origin{S}of{S}this{S}software{S}must{S}not{S}be{S}misrepresented", ("misrepresented",)),
+    ("Zlib", rf"Altered{S}source{S}versions{S}must{S}be{S}plainly{S}marked{S}as{S}such", ("altered",)),
+    ("Unlicense", rf"Anyone{S}is{S}free{S}to{S}copy,{S}modify,{S}publish,{S}use,{S}compile,{S}sell", ("anyone",)),
+    ("CC0-1.0", rf"has{S}waived{S}all{S}copyright{S}and{S}related{S}or{S}neighboring{S}rights", ("neighboring",)),
+    ("WTFPL", rf"You{S}just{S}DO{S}WHAT{S}THE{S}F\w*{S}YOU{S}WANT{S}TO", ("want",)),
+    ("Beerware", rf"you{S}can{S}buy{S}me{S}a{S}beer{S}in{S}return", ("beer",)),
+    ("PostgreSQL", rf"IN{S}NO{S}EVENT{S}SHALL{S}THE{S}UNIVERSITY{S}OF{S}CALIFORNIA{S}BE{S}LIABLE", ("california",)),
+    ("PSF-2.0", rf"PSF{S}is{S}making{S}Python{S}available{S}to{S}Licensee", ("psf",)),
+    ("OFL-1.1", rf"may{S}be{S}sold{S}by{S}itself,{S}unless{S}[^\n]{{0,40}}|Reserved{S}Font{S}Name", ("font", "itself")),
+    ("Artistic-1.0", rf"The{S}intent{S}of{S}this{S}document{S}is{S}to{S}state{S}the{S}conditions{S}under{S}which{S}a{S}Package", ("intent",)),
+    ("EUPL-1.2", rf"Licensed{S}under{S}the{S}EUPL", ("eupl",)),
+    ("HPND", rf"Permission{S}to{S}use,{S}copy,{S}modify,?{S}and{S}distribute{S}this{S}software{S}and{S}its{S}documentation", ("permission",)),
+    ("NTP", rf"Permission{S}to{S}use,{S}copy,{S}modify,{S}and{S}distribute{S}this{S}software{S}(?:and{S}its{S}documentation{S})?for{S}any{S}purpose{S}with(?:out)?{S}fee", ("permission",)),
+    ("curl", rf"Permission{S}to{S}use,{S}copy,{S}modify,{S}and{S}distribute{S}this{S}software{S}for{S}any{S}purpose{S}with{S}or{S}without{S}fee", ("permission",)),
+    ("MS-PL", rf"If{S}you{S}use{S}the{S}software,{S}you{S}accept{S}this{S}licen[sc]e", ("accept",)),
+    ("UPL-1.0", rf"to{S}deal{S}in{S}both{S}\(a\){S}the{S}Software", ("deal",)),
+    ("GFDL-1.1", rf"Permission{S}is{S}granted{S}to{S}copy,{S}distribute{S}and/or{S}modify{S}this{S}document", ("document",)),
+    ("ODbL-1.0", rf"made{S}available{S}under{S}the{S}Open{S}Database{S}Licen[sc]e", ("database",)),
+    ("SSPL-1.0", rf"making{S}the{S}functionality{S}of{S}the{S}Program{S}or{S}modified{S}version{S}available{S}to{S}third{S}parties{S}as{S}a{S}service", ("functionality",)),
+    ("Elastic-2.0", rf"You{S}may{S}not{S}provide{S}the{S}software{S}to{S}third{S}parties{S}as{S}a{S}hosted{S}or{S}managed{S}service", ("hosted",)),
+    ("BUSL-1.1", rf"(?:Additional{S}Use{S}Grant|Change{S}Date):", ("additional", "change")),
+    ("OpenRAIL-M", rf"use-based{S}restrictions", ("use-based",)),
+    ("Llama-2", rf"Llama{S}2{S}is{S}licensed{S}under{S}the{S}LLAMA{S}2{S}Community{S}Licen[sc]e", ("llama",)),
     *[(spdx, rf"(?:https?://)?(?:www\.)?{re.escape(url)}[\w./#-]{{0,80}}", (url.split("/")[0],)) for spdx, url in (
         ("Apache-2.0", "apache.org/licenses/LICENSE-2.0"), ("Apache-1.1", "apache.org/licenses/LICENSE-1.1"), ("GPL-3.0", "gnu.org/licenses/gpl-3.0"), ("GPL-2.0", "gnu.org/licenses/old-licenses/gpl-2.0"), ("LGPL-3.0", "gnu.org/licenses/lgpl-3.0"), ("LGPL-2.1", "gnu.org/licenses/old-licenses/lgpl-2.1"), ("AGPL-3.0", "gnu.org/licenses/agpl-3.0"), ("GFDL-1.3", "gnu.org/licenses/fdl-1.3"),
         ("MIT", "opensource.org/licenses/MIT"), ("ISC", "opensource.org/licenses/ISC"), ("BSD-3-Clause", "opensource.org/licenses/BSD-3-Clause"), ("BSD-2-Clause", "opensource.org/licenses/BSD-2-Clause"), ("MPL-2.0", "mozilla.org/MPL/2.0"), ("MPL-1.1", "mozilla.org/MPL/1.1"), ("EPL-2.0", "eclipse.org/legal/epl-2.0"), ("EPL-1.0", "eclipse.org/legal/epl-v10"), ("BSL-1.0", "boost.org/LICENSE_1_0"), ("Unlicense", "unlicense.org"), ("WTFPL", "wtfpl.net"), ("ODbL-1.0", "opendatacommons.org/licenses/odbl"), ("ODC-By-1.0", "opendatacommons.org/licenses/by"), ("PDDL-1.0", "opendatacommons.org/licenses/pddl"), ("OFL-1.1", "scripts.sil.org/OFL"), ("CC0-1.0", "creativecommons.org/publicdomain/zero/1.0"), ("public-domain", "creativecommons.org/publicdomain/mark/1.0"),
@@ -199,11 +244,21 @@ def _prepared() -> tuple:
 
 def resolve(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Detections (rule, start, end) that stay, by start: see the module's first lines."""
+    # of what is kept none contains another, so by start they are by end too: one look to each side finds any containment
+    starts: list[int] = []
     kept: list[tuple[int, int, int]] = []
     for rule, start, end in sorted(set(found), key=lambda d: (-RULES[d[0]][2], d[1] - d[2], d[1], d[0])):
-        if not any(s <= start and end <= e or start <= s and e <= end for _, s, e in kept):
-            kept.append((rule, start, end))
-    return sorted(kept, key=lambda d: (d[1], d[2], d[0]))
+        before, after = bisect_right(starts, start) - 1, bisect_left(starts, start)
+        if before >= 0 and kept[before][2] >= end or after < len(kept) and kept[after][2] <= end:
+            continue
+        starts.insert(after, start)
+        kept.insert(after, (rule, start, end))
+    return kept
+
+
+def fold(text: str) -> str:
+    """text in lower case as regular expressions see it when they ignore case; lengths may differ."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").lower().replace("ı", "i").replace("ſ", "s")
 
 
 def detect(text: str | None) -> list[tuple[int, int, int]]:
@@ -211,7 +266,7 @@ def detect(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     automaton, by_key, patterns = _prepared()
-    keys = {key for _, key in automaton.iter(text.lower())}
+    keys = {key for _, key in automaton.iter(fold(text))}
     if not keys:
         return []
     rules = sorted({i for key in keys for i in by_key[key]})
