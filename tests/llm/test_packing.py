@@ -1,7 +1,7 @@
 import random
 import re
 
-from triplane.llm.packing import TOKEN, first_fit_decreasing, pack
+from triplane.llm.packing import TOKEN, first_fit_decreasing, pack, pack_texts
 
 
 def naive(lengths, capacity):
@@ -54,6 +54,34 @@ def test_groups_are_packed_first_fit(spark, make_docs):
         assert sorted(sum(r["lengths"]) for r in own) == sorted(sum(n for n, at in zip(lengths, naive(lengths, 50), strict=True) if at == k) for k in range(len(own)))
 
 
+def test_texts_are_those_of_the_pieces(spark, make_docs, odd_rows):
+    rng = random.Random(5)
+    rows = odd_rows + [(100 + i, " ".join(f"d{i}t{j}" for j in range(rng.randint(1, 90))) + "\n", "en", "a") for i in range(200)]
+    docs = make_docs(rows)
+    got = pack_texts(docs, 64, group_docs=50).collect()
+    assert sorted((tuple(r)[:-1] for r in got), key=repr) == sorted(map(tuple, pack(docs, 64, group_docs=50).collect()), key=repr)
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, set()).add(t)
+    whole = {}
+    for r in got:
+        for i, start, n, text in zip(r["doc_ids"], r["starts"], r["lengths"], r["texts"], strict=True):
+            assert len(re.findall(TOKEN, text)) == n and any(text in t for t in texts[i] if t)
+            whole.setdefault(i, []).append((start, text))
+    for i in range(100, 300):  # every document again from its pieces
+        assert "".join(t for _, t in sorted(whole[i])) == next(iter(texts[i]))
+    small = pack_texts(docs, 64, group_docs=50, group_tokens=500).collect()
+    assert len({r["pack_group"] for r in small}) > 20 and sum(r["n_tokens"] for r in small) == sum(r["n_tokens"] for r in got)
+
+
+def test_large_ids_beside_null_ones(spark, make_docs):
+    docs = make_docs([(2**62 + 1, "a b c", "en", "a"), (None, "a b c", "en", "a"), (0, "d", "en", "a")])
+    for found in (pack(docs), pack_texts(docs)):
+        assert [r["doc_ids"] for r in found.collect()] == [[2**62 + 1, None, 0]]
+
+
 def test_empty(spark, make_docs):
     assert pack(make_docs([])).collect() == []
+    assert pack_texts(make_docs([])).collect() == []
+    assert pack_texts(make_docs([(1, None, "en", "a"), (2, " ", "en", "a")])).collect() == []
     assert pack(make_docs([(1, None, "en", "a"), (2, "", "en", "a")])).collect() == []
