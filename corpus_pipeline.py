@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: toxicity, quality, near-duplicates, mixing, packing.
 
-Each stage works on all that the stage before it kept, written as Parquet and read again.
+Each stage works on all that the stage before it kept, written as Parquet and read again. The result has a row for each
+training sequence: (pack_group, pack, doc_ids, starts, lengths, n_tokens, texts), texts being those of its pieces in order.
+
+What each stage makes of odd rows is what its operator states: rows of null or empty text aren't toxic but fail the quality
+rules; rows that repeat are one document for near-dedup, of which one row stays, the one of least doc_id, null ids last;
+columns beyond doc_id, text, lang, source and n_chars reach mixing and end there; no documents give no sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from triplane.llm.mixing import mixed_documents
 from triplane.llm.near_dedup import near_dedup
-from triplane.llm.packing import pack
+from triplane.llm.packing import pack_texts
 from triplane.llm.quality import filter_quality
 from triplane.llm.tables import materialize
 from triplane.llm.toxicity import filter_toxicity, train
@@ -38,8 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of pieces: the training sequences."""
-    return pack(docs)
+    """Bins of pieces with their texts: the training sequences. starts count tokens from the piece that mixing made."""
+    return pack_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -50,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The toxicity model and its successors have no SQL; tests compare each stage with a brute-force version.
+#: The toxicity model and its successors have no SQL; ``tests/llm/test_pipeline.py`` compares each stage with a plain version.
 ORACLE_SQL = None
 
 
