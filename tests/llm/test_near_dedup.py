@@ -94,3 +94,19 @@ def test_words_are_hashed_alike_in_pieces():
     got = hash_words(["a b", None, long, ""])
     assert np.array_equal(np.diff(got.bounds), [2, 0, 300_000, 0])
     assert got.hashes[2] == hash_words(["word0"]).hashes[0] and got.hashes[-1] == hash_words(["Word299999."]).hashes[0]
+
+
+def test_words_of_any_script():
+    words = lambda t: hash_words([t]).hashes.tolist()
+    assert words("東京タワー。") == [w for c in "東京タワー" for w in words(c)]
+    assert words("a—b…c") == words("a b c") and words("¿qué?") == words("qué") and words("x\u00a0y\u3000z") == words("x y z")
+    assert len(words("naïve café Ünïcode")) == 3 and len(words("สวัสดี")) == 6
+    mixed = hash_words(["plain", "日本 text", None, "é", "«a»"])
+    assert np.diff(mixed.bounds).tolist() == [1, 3, 0, 1, 1]
+
+
+def test_near_copies_without_spaces(spark, make_docs):
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(300))
+    docs = make_docs([(1, text, "zh", "a"), (2, text[:150] + "改" + text[151:], "zh", "a"), (3, text[::-1], "zh", "a")])
+    assert [(r["doc_id"], r["kept_doc_id"]) for r in near_duplicate_pairs(docs).collect()] == [(2, 1)]

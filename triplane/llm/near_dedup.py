@@ -2,7 +2,7 @@
 
 ``sides`` collections on the left and as many on the right, each of ``k`` minhashes, give ``sides**2`` tables: table (i, j)
 is keyed by left collection i with right collection j. So 2*sides*k minhashes stand for 2*k*sides**2. A pair of Jaccard
-similarity J meets in some table with probability (1-(1-J**k)**sides)**2.
+similarity J meets in some table with probability (1-(1-J**k)**sides)**2: 0.91 at the threshold of 0.6, 0.98 at 0.7.
 
 Texts move once, and only those of candidates: tables hold fixed-size keys. Every candidate pair is settled exactly. A pair
 is verified by the true Jaccard similarity of both shingle sets; pairs whose ends are already connected need no look.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from triplane.llm.tables import arrow_batches, materialize, release, small_enough
 from triplane.llm.words import U, hash_words, mix, shingles
 
-WIDTH, THRESHOLD, SIDES, K = 2, 0.6, 6, 2
+WIDTH, THRESHOLD, SIDES, K = 2, 0.6, 7, 2
 #: Rows of a table of (16-byte key, id) that are broadcast at most; a shuffle join takes over beyond.
 BROADCAST_ROWS = 500_000
 
@@ -67,7 +67,7 @@ def duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
     A group is a connected component of exact and verified near copies. Its row with the least doc_id (null after all
     others; then least MD5) is kept and named by kept_*. ``repeated``: the row is the kept one and occurs more than once
     in docs; one of its rows stays. Null texts belong to no group. Texts without words (empty ones too) match exact copies
-    only. Long texts are hashed in pieces, whole. Rows that tie in all of this are the same row. No docs give no rows; columns
+    only. Long texts are hashed in pieces, whole. Ids are whole numbers or strings of them (others raise). Rows that tie in all of this are the same row. No docs give no rows; columns
     beyond id and text play no part.
     """
     spark = docs.sparkSession

@@ -1,11 +1,14 @@
 """Vectorised word hashing, shared by the operators that work on words.
 
-A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text. A word's hash is
-a polynomial over its UTF-8 bytes modulo 2**64, mixed; it depends on the bytes alone, so all workers agree on it.
+A word is a maximal run of letters, digits and symbols of the lower-cased text: white space, ASCII characters that are neither
+letters nor digits, and punctuation of any script end it. Scripts that don't space their words (Han, Kana, Thai and their
+like) have a word for each character. A word's hash is a polynomial over its UTF-8 bytes modulo 2**64, mixed; it depends on the bytes alone, so all workers agree on it.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +18,9 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _STEP = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_BREAKS = "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x1F000)]) if unicodedata.category(c)[0] in "PZ" or 127 < ord(c) < 160)
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_APART = re.compile(f"[{re.escape(_BREAKS)}]+|([{_ALONE}])")
 _powers = {b: np.ones(1, U) for b in (_BASE, _INVERSE)}
 
 
@@ -33,6 +39,23 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _encoded(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
+    """The lower-cased texts, each with a line break behind it, and their bounds. Characters beyond ASCII that end a word have
+    spaces around them or in their place; texts that may hold any are found by their bytes."""
+    parts = [t.lower().encode() if t else b"" for t in texts]
+    data = b"\n".join(parts) + b"\n"
+    starts = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(e) + 1 for e in parts], out=starts[1:])
+    whole = np.frombuffer(data, np.uint8)
+    lead = np.flatnonzero((whole >= 0xCD) | (whole == 0xC2))  # none of these bytes begins a Latin letter
+    if not len(lead):
+        return data, starts
+    for i in np.unique(np.searchsorted(starts, lead, side="right") - 1):
+        parts[i] = _APART.sub(r" \1 ", parts[i].decode()).encode()
+    np.cumsum([len(e) + 1 for e in parts], out=starts[1:])
+    return b"\n".join(parts) + b"\n", starts
+
+
 @dataclass
 class Words:
     """hashes of all words in order; document d's are hashes[bounds[d]:bounds[d+1]]. prefixes: hashes of longer words' first bytes, else 0."""
@@ -47,10 +70,7 @@ class Words:
 
 def hash_words(texts: list[str | None], prefix: int = 0) -> Words:
     """Words of each text; a null text has none. Long inputs are worked through in pieces that end between words."""
-    encoded = [t.lower().encode() if t else b"" for t in texts]
-    data = b"\n".join(encoded) + b"\n"
-    starts = np.zeros(len(encoded) + 1, np.int64)
-    np.cumsum([len(e) + 1 for e in encoded], out=starts[1:])
+    data, starts = _encoded(texts)
     whole = np.frombuffer(data, np.uint8)
     hashes, firsts, prefixes = [], [], []
     at = 0
