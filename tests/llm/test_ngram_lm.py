@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from triplane.llm.ngram_lm import STRENGTH, score_documents, score_texts, suffix_array
+from triplane.llm.document_lm import pack, score_documents, unpack
+from triplane.llm.ngram_lm import STRENGTH, score_texts, suffix_array
 from triplane.llm.queries import QUERIES
 from triplane.llm.words import hash_words
 
@@ -26,7 +28,9 @@ def brute(text, corpus, strength=STRENGTH):
             context = words[j - n : j]
             if not (c := count(context)):
                 break
-            p, best = (count([*context, w]) + strength * p) / (c + strength), n
+            best = n
+            if n == j or count(words[j - n - 1 : j]) != c:  # else the longer one says the same
+                p = (count([*context, w]) + strength * p) / (c + strength)
         bits.append(-np.log2(p))
         contexts.append(best)
     return len(words), float(np.mean(bits)), max(contexts)
@@ -72,13 +76,17 @@ def test_odd_queries(spark, corpus):
 
 
 def test_documents_under_all_others(spark, corpus, make_docs, odd_rows):
-    rows = [(100 + i, t, "en", "web") for i, t in enumerate([*corpus, corpus[5], corpus[7] + " zz " + corpus[5], "aa aa aa aa aa", "z y x"])] + [r for r in odd_rows if r[0] != 7]
-    for block, starts in ((300, 1000),):
-        got = score_documents(make_docs(rows).repartition(3), block_words=block, pass_starts=starts).collect()
-        assert sorted((r["item_id"] for r in got), key=repr) == sorted((r[0] for r in rows), key=repr)
+    rng = random.Random(3)
+    copy = " ".join(f"c{rng.randrange(50)}" for _ in range(150))
+    rows = [(100 + i, t, "en", "web") for i, t in enumerate([*corpus, corpus[5], corpus[7] + " zz " + corpus[5], "aa aa aa aa aa", "z y x", copy, copy, f"q {copy} r", copy[:300], "a " * 40])] + [r for r in odd_rows if r[0] != 7]
+    odd = F.col("doc_id") % 2 == 1
+    for block, shard, asked in ((300, 200, None), (1_000_000, 2_000_000, odd), (50, 1000, odd)):
+        got = score_documents(make_docs(rows).repartition(3), asked, block_words=block, shard_keys=shard).collect()
+        wanted = [r for r in rows if asked is None or (r[0] or 0) % 2]
+        assert sorted((r["item_id"] for r in got), key=repr) == sorted((r[0] for r in wanted), key=repr)
         got = {r["item_id"]: r for r in got}
         for at, (i, text, *_) in enumerate(rows):
-            if i is None or i == 1:  # ids of several rows
+            if i is None or i == 1 or i not in got:  # ids of several rows
                 continue
             n = len(hash_words([text]).hashes)
             assert got[i]["n_tokens"] == n
@@ -89,10 +97,33 @@ def test_documents_under_all_others(spark, corpus, make_docs, odd_rows):
             assert got[i]["longest_context"] == longest
             assert got[i]["bits_per_word"] == pytest.approx(bits)
     assert score_documents(make_docs([])).collect() == []
+    assert score_documents(make_docs(rows), F.lit(None).cast("boolean")).collect() == []
     assert [r["bits_per_word"] for r in score_documents(make_docs([(1, "a b", "en", "web")])).collect()] == [0.0]
 
 
-def test_query_scores_every_document(spark):
+def test_long_copies(spark, make_docs):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30_000))
+    rows = [(1, long, "en", "a"), (2, long + " tail", "en", "a"), (3, "x " * 20_000, "en", "a"), (4, "x " * 9_000, "en", "a"), (5, None, "en", "a")]
+    got = {r["item_id"]: r for r in score_documents(make_docs(rows)).collect()}
+    assert [got[i]["longest_context"] for i in (1, 2, 3, 4)] == [29_999, 30_000, 9_000, 8_999]
+    assert got[1]["bits_per_word"] < 1.1 and got[5]["n_tokens"] == 0
+
+
+def test_packed_arrays():
+    for kind in (np.int32, np.int64, np.uint64, np.bool_, np.uint8):
+        for n in (0, 1, 1000):
+            a = np.random.default_rng(n).integers(0, 2, n).astype(kind) if kind is np.bool_ else np.random.default_rng(n).integers(0, 120, n).astype(kind)
+            assert unpack(pack(a), kind).tolist() == a.tolist()
+
+
+def test_query_scores_every_asked_document(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = QUERIES["op9_ngram_lm"](spark, "/root/testdata/sf0.001").select("item_id").collect()
-    assert sorted(r[0] for r in got) == sorted(r[0] for r in docs.select("doc_id").collect())
+    rows = docs.select("doc_id", "text").collect()
+    got = {r["item_id"]: r for r in QUERIES["op9_ngram_lm"](spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(got) == sorted(r[0] for r in rows if r[0] % 20 == 0)
+    some = [i for i in sorted(got) if 0 < got[i]["n_tokens"] < 100][:1]
+    for i in some:
+        text = next(r["text"] for r in rows if r["doc_id"] == i)
+        n, bits, longest = brute(text, [r["text"] for r in rows if r["doc_id"] != i])
+        assert (got[i]["n_tokens"], got[i]["longest_context"]) == (n, longest) and got[i]["bits_per_word"] == pytest.approx(bits)

@@ -6,15 +6,11 @@ anything matches. What leaves a shard is, for each query start, how many of its
 summed over shards, these numbers give the count of every n-gram of the query, of any length.
 
 A word's probability starts from its share of the corpus (an unseen word has the share of one occurrence) and is refined
-by each longer context that the corpus holds: p_n = (count(context word) + strength * p_(n-1)) / (count(context) + strength).
+by each longer context that the corpus holds: p = (count(context word) + strength * p') / (count(context) + strength), p' being
+that of the next shorter one. Contexts that occur at the same places say the same and are one, of which the longest stands.
 
 Work grows as corpus size times log, plus query words times shards. Queries are read in passes of ``pass_words`` words; it is
-meant for evaluation texts against a corpus.
-
-A corpus against itself goes another way, ``score_documents``, where nothing is collected and work grows as the corpus does.
-The count of the n-gram from a start falls as n grows. Each start asks for counts of n-grams by their hashes, of doubled
-lengths until none is left in another document, then of lengths halfway between two whose counts differ. Starts of one
-n-gram have asked for the same lengths up to it, so the askers of a hash are all its places.
+meant for evaluation texts against a corpus. For the documents of a corpus against each other see ``document_lm``.
 """
 
 from __future__ import annotations
@@ -25,13 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplane.llm.tables import arrow_batches, materialize, release
-from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
+from triplane.llm.tables import arrow_batches, materialize
+from triplane.llm.words import hash_words
 
 SHARD_TOKENS, PASS_WORDS, STRENGTH = 3_000_000, 2_000_000, 1.0
-#: Words of documents that one task works on, and starts whose counts are asked for at a time.
-BLOCK_WORDS, PASS_STARTS = 500_000, 20_000_000
-SCORES = "q long, n_tokens long, bits_per_word double, perplexity double, mean_context double, longest_context long"
+SCORES = "n_tokens long, bits_per_word double, perplexity double, mean_context double, longest_context long"
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -128,25 +122,60 @@ def _counted(corpus: DataFrame, hashes: np.ndarray, ends: np.ndarray, shard_toke
     return corpus.mapInArrow(shards, "start long, length long, places long").groupBy("start", "length").agg(F.sum("places").alias("places"))
 
 
-def word_probabilities(start: np.ndarray, length: np.ndarray, places: np.ndarray, n: int, corpus_size: int, strength: float = STRENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(probability, longest context) of each of a text's n words, from its match lengths."""
-    count = np.zeros(n, np.int64)
-    np.add.at(count, start, places)  # of the n-grams of length 1
-    order = np.argsort(length, kind="stable")
+def at_least(start: np.ndarray, length: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By start and length, from the places that share exactly a length, those that share it at least."""
+    order = np.lexsort((length, start))
     start, length, places = start[order], length[order], places[order]
-    p = np.maximum(count, 1) / (corpus_size + 1)
-    context = np.zeros(n, np.int64)
-    size = 1
-    while size < n and count[: n - size].any():
-        shorter = count.copy()
-        a, b = np.searchsorted(length, [size, size + 1])
-        np.subtract.at(count, start[a:b], places[a:b])
-        held = np.flatnonzero(shorter[: n - size] > 0)
-        j = held + size
-        p[j] = (count[held] + strength * p[j]) / (shorter[held] + strength)
-        context[j] = size
-        size += 1
-    return p, context
+    total = np.append(np.cumsum(places[::-1])[::-1], 0)
+    return start, length, total[:-1] - total[np.searchsorted(start, start, side="right")]
+
+
+def word_probabilities(start: np.ndarray, length: np.ndarray, places: np.ndarray, n: int, corpus_size: int, strength: float = STRENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, longest context) of each of a text's n words. (start, length, places), in order: places that match
+    ``length`` words from ``start``; a length left out has the places of the next longer one of its start."""
+    first = np.searchsorted(start, np.arange(n + 1))
+    key = start * (n + 2) + length
+
+    def count(i: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(key, i * (n + 2) + size)
+        return np.where(at < first[i + 1], places[np.minimum(at, len(key) - 1)], 0) if len(key) else np.zeros(len(i), np.int64)
+
+    j = np.arange(n)
+    longest = np.zeros(n, np.int64)
+    some = first[1:] > first[:-1]
+    longest[some] = length[first[1:][some] - 1]
+    # where a match ends never falls from one start to the next, so a word's longest context is found by bisection
+    i = np.searchsorted(j + longest, j)
+    context = j - i
+    # p = known + rest * p of the contexts still to come, from the longest on
+    known, rest, todo = np.zeros(n), np.ones(n), np.flatnonzero(context > 0)
+    while len(todo):
+        at, to = i[todo], j[todo]
+        held = count(at, to - at)
+        known[todo] += rest[todo] * count(at, to - at + 1) / (held + strength)
+        rest[todo] *= strength / (held + strength)
+        low, high = at + 1, to.copy()  # the next is the longest context with more places
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            more = count(np.minimum(mid, n - 1), np.maximum(to - mid, 1)) > held
+            high, low = np.where(open_ & more, mid, high), np.where(open_ & ~more, mid + 1, low)
+        i[todo] = low
+        todo = todo[(low < to) & (rest[todo] > 1e-18 * known[todo])]
+    return known + rest * np.maximum(count(j, np.ones(n, np.int64)), 1) / (corpus_size + 1), context
+
+
+def summary(start: np.ndarray, length: np.ndarray, places: np.ndarray, n: int, corpus_size: int, strength: float) -> tuple:
+    """A text's row of scores; see ``word_probabilities``."""
+    if not n:
+        return 0, None, None, None, None
+    p, context = word_probabilities(start, length, places, n, corpus_size, strength)
+    bits = float(-np.log2(p).mean())
+    return n, bits, 2.0**bits, float(context.mean()), int(context.max())
+
+
+def score_columns(rows: list[tuple]) -> dict[str, pa.Array]:
+    kinds = {"n_tokens": pa.int64(), "bits_per_word": pa.float64(), "perplexity": pa.float64(), "mean_context": pa.float64(), "longest_context": pa.int64()}
+    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
 
 
 def score_texts(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id", text_col: str = "text", corpus_text_col: str = "text", strength: float = STRENGTH, shard_tokens: int = SHARD_TOKENS, pass_words: int = PASS_WORDS) -> DataFrame:
@@ -154,7 +183,8 @@ def score_texts(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id",
     included, under the language model of all of corpus.
 
     Null and empty query texts have 0 tokens and null scores. Null and empty corpus texts add nothing; with an empty corpus
-    every word has probability 1. No match crosses a document's end. Queries without rows give no rows.
+    every word has probability 1. No match crosses a document's end. Queries without rows give no rows; other columns of either
+    play no part.
     """
     spark = queries.sparkSession
     arrow_batches(spark)
@@ -177,19 +207,15 @@ def score_texts(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id",
                 q = np.searchsorted(bounds, s, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(s - bounds[q]), b.column("length"), b.column("places")], ["q", "start", "length", "places"])
 
-        def score(key, df: pd.DataFrame) -> pd.DataFrame:
+        def score(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
             q = int(key[0])
-            n = int(bounds[q + 1] - bounds[q])
-            if not n:
-                return pd.DataFrame([(q, 0, None, None, None, None)], columns=["q", "n_tokens", "bits_per_word", "perplexity", "mean_context", "longest_context"])
             df = df[df["length"] > 0]
-            p, context = word_probabilities(df["start"].to_numpy(), df["length"].to_numpy(), df["places"].to_numpy(), n, corpus_size, strength)
-            bits = float(-np.log2(p).mean())
-            return pd.DataFrame([(q, n, bits, 2.0**bits, float(context.mean()), int(context.max()))], columns=["q", "n_tokens", "bits_per_word", "perplexity", "mean_context", "longest_context"])
+            counts = at_least(df["start"].to_numpy(), df["length"].to_numpy(), df["places"].to_numpy())
+            return pd.DataFrame([(q, *summary(*counts, int(bounds[q + 1] - bounds[q]), corpus_size, strength))], columns=["q", "n_tokens", "bits_per_word", "perplexity", "mean_context", "longest_context"])
 
         counts = found.where("start >= 0").mapInArrow(owned, "q long, start long, length long, places long")
         every = spark.range(len(chunk)).selectExpr("id as q", "0L as start", "0L as length", "0L as places")
-        scored = counts.union(every).groupBy("q").applyInPandas(score, SCORES)
+        scored = counts.union(every).groupBy("q").applyInPandas(score, f"q long, {SCORES}")
         ids = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(chunk)], f"q long, item_id {id_type}")
         return ids.join(scored, "q").drop("q")
 
@@ -201,131 +227,9 @@ def score_texts(queries: DataFrame, corpus: DataFrame, id_col: str = "item_id",
             chunk, words = [], 0
     if chunk or not results:
         if not chunk:
-            return spark.createDataFrame([], f"item_id {id_type}, {SCORES.removeprefix('q long, ')}")
+            return spark.createDataFrame([], f"item_id {id_type}, {SCORES}")
         results.append(one_pass(chunk))
     out = results[0]
     for more in results[1:]:
         out = out.union(more)
     return out
-
-
-#: A start's interval of lengths, from ``lo`` with ``c_lo`` places to ``hi`` with ``c_hi``, or without an end where hi is 0;
-#: the length asked for, its n-gram's hash (null past the document's end) and how often the document itself has that n-gram.
-_ASKED = "block int, row long, start int, lo int, c_lo long, hi int, c_hi long, length int, h long, own long"
-_ASKED_TYPES = [("block", pa.int32()), ("row", pa.int64()), ("start", pa.int32()), ("lo", pa.int32()), ("c_lo", pa.int64()), ("hi", pa.int32()), ("c_hi", pa.int64()), ("length", pa.int32()), ("h", pa.int64()), ("own", pa.int64())]
-
-
-def _joined(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows in order, their bounds, hashes) of a block's documents."""
-    rows, n = words.column("row").to_numpy(), words.column("n_tokens").to_numpy()
-    order = np.argsort(rows)
-    texts = words.column("words").to_pylist()
-    bounds = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum(n[order], out=bounds[1:])
-    return rows[order], bounds, np.frombuffer(b"".join(texts[i] for i in order), np.uint64)
-
-
-def _ask(block: int, rows: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, lo: np.ndarray, c_lo: np.ndarray, hi: np.ndarray, c_hi: np.ndarray) -> pa.Table:
-    length = np.where(hi > 0, (lo + hi) // 2, np.maximum(1, 2 * lo)).astype(np.int64)
-    at = bounds[doc] + start
-    inside = at + length <= bounds[doc + 1]
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _power(_BASE, len(hashes)), out=total[1:])
-    end = np.where(inside, at + length, at)
-    h = mix((total[end] - total[at]) * _power(_INVERSE, len(hashes) + 1)[at] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    _, same, times = np.unique(np.where(inside, mix(h + mix(doc.astype(np.uint64) + np.uint64(1))), np.uint64(0)), return_inverse=True, return_counts=True)
-    columns = [np.full(len(doc), block), rows[doc], start, lo, c_lo, hi, c_hi, length, h.view(np.int64), times[same]]
-    return pa.table({name: pa.array(c.astype(kind.to_pandas_dtype()), kind, mask=~inside if name == "h" else None) for (name, kind), c in zip(_ASKED_TYPES, columns, strict=True)})
-
-
-def _counts(words: DataFrame, passes: int) -> list[DataFrame]:
-    """Tables of (block, row, start, length, places): how many places in other documents the n-gram of ``length`` words from
-    a start has, where any has; lengths left out between two have the count of the shorter."""
-    found = []
-
-    def next_(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return pa.table({name: pa.array([], kind) for name, kind in _ASKED_TYPES})
-        rows, bounds, hashes = _joined(left)
-        row, start, lo, c_lo, hi, c_hi = (right.column(c).to_numpy() for c in ("row", "start", "lo", "c_lo", "hi", "c_hi"))
-        return _ask(right.column("block")[0].as_py(), rows, bounds, hashes, np.searchsorted(rows, row), start.astype(np.int64), lo, c_lo, hi, c_hi)
-
-    def first(k: int):
-        def ask(left: pa.Table) -> pa.Table:
-            rows, bounds, hashes = _joined(left)
-            at = np.flatnonzero(mix(hashes) % np.uint64(passes) == k)  # by first word: starts of one n-gram are in one pass
-            doc = np.searchsorted(bounds, at, side="right") - 1
-            zero = np.zeros(len(at), np.int64)
-            return _ask(left.column("block")[0].as_py(), rows, bounds, hashes, doc, at - bounds[doc], zero, zero, zero, zero)
-
-        return ask
-
-    for k in range(passes):
-        asked = materialize(words.groupBy("block").applyInArrow(first(k), _ASKED))
-        while not asked.isEmpty():
-            elsewhere = asked.where("h is not null").groupBy("h").agg(F.count("*").alias("c"), F.max("own").alias("most")).where("c > most").select("h", "c")
-            got = materialize(asked.join(elsewhere, "h", "left").drop("h").withColumn("c", F.coalesce("c", F.lit(0))))
-            found.append(materialize(got.where("c > 0").selectExpr("block", "row", "start", "length", "c - own as places")))
-            to = F.array(
-                F.when((F.col("hi") == 0) & (F.col("c") > 0), F.expr("struct(length as lo, c as c_lo, 0 as hi, 0L as c_hi)")),
-                F.when((F.col("length") - F.col("lo") > 1) & (F.col("c") != F.col("c_lo")), F.expr("struct(lo, c_lo, length as hi, c as c_hi)")),
-                F.when((F.col("hi") - F.col("length") > 1) & (F.col("c") != F.col("c_hi")), F.expr("struct(length as lo, c as c_lo, hi, c_hi)")),
-            )
-            open_ = got.select("block", "row", "start", F.explode(F.array_compact(to)).alias("i")).select("block", "row", "start", "i.*")
-            after = materialize(words.groupBy("block").cogroup(open_.groupBy("block")).applyInArrow(next_, _ASKED))
-            release(asked, got)
-            asked = after
-        release(asked)
-    return found
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH, block_words: int = BLOCK_WORDS, pass_starts: int = PASS_STARTS) -> DataFrame:
-    """(item_id, n_tokens, bits_per_word, perplexity, mean_context, longest_context) for each row of docs, repeated rows
-    included, under the language model of all the other rows.
-
-    Null and empty texts have 0 tokens and null scores. Where no other row has words, every word has probability 1. No match
-    crosses a document's end. No docs give no rows; other columns play no part.
-    """
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    rows = docs.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["item_id"].dataType.simpleString()
-
-    def hashed(batches):
-        for b in batches:
-            w = hash_words(b.column("text").to_pylist())
-            own = [w.hashes[i:j].tobytes() for i, j in zip(w.bounds, w.bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(np.diff(w.bounds)), pa.array(own, pa.binary())], ["item_id", "n_tokens", "words"])
-
-    words = materialize(rows.mapInArrow(hashed, f"item_id {id_type}, n_tokens long, words binary").withColumn("row", F.monotonically_increasing_id()))
-    size = words.agg(F.sum("n_tokens")).first()[0] or 0
-    words = words.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(1, -(-size // block_words)))).cast("int"))
-    counts = None
-    for c in _counts(words.where("n_tokens > 0"), max(1, -(-size // pass_starts))):
-        counts = c if counts is None else counts.union(c)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, start, length, places = (right.column(c).to_numpy() for c in ("row", "start", "length", "places"))
-        order = np.lexsort((length, start, row))
-        row, start, length, places = (x[order].astype(np.int64) for x in (row, start, length, places))
-        goes_on = (row[1:] == row[:-1]) & (start[1:] == start[:-1])
-        places[:-1] -= np.where(goes_on, places[1:], 0)  # now the places that share exactly this length
-        some = places > 0
-        row, start, length, places = row[some], start[some], length[some], places[some]
-        out = []
-        for r, n in zip(left.column("row").to_pylist(), left.column("n_tokens").to_pylist(), strict=True):
-            a, b = np.searchsorted(row, [r, r + 1])
-            if not n:
-                out.append((0, None, None, None, None))
-                continue
-            p, context = word_probabilities(start[a:b], length[a:b], places[a:b], n, size - n, strength)
-            bits = float(-np.log2(p).mean())
-            out.append((n, bits, 2.0**bits, float(context.mean()), int(context.max())))
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-        names = ("n_tokens", "bits_per_word", "perplexity", "mean_context", "longest_context")
-        return pa.table({"item_id": left.column("item_id")} | {name: pa.array(c, kind) for name, kind, c in zip(names, kinds, zip(*out, strict=True) if out else [[]] * 5, strict=True)})
-
-    if counts is None:
-        counts = spark.createDataFrame([], "block int, row long, start int, length int, places long")
-    every = words.drop("words").groupBy("block")
-    return every.cogroup(counts.groupBy("block")).applyInArrow(score, f"item_id {id_type}, {SCORES.removeprefix('q long, ')}")

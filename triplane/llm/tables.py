@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ _LIMITED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local session may leave it unset: it gets a temporary folder, which other
+    machines couldn't read."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="triplane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +43,38 @@ def release(*dfs: DataFrame) -> None:
             _delete(path)
 
 
+class Kept:
+    """A DataFrame written to the shared folder by a column of small whole numbers, whose parts are read and dropped apart."""
+
+    def __init__(self, df: DataFrame, by: str):
+        self.spark, self.schema, self.by = df.sparkSession, df.drop(by).schema, by
+        self.path = f"{shared_dir(self.spark)}/triplane-{uuid.uuid4().hex}"
+        df.write.partitionBy(by).parquet(self.path)
+        _WRITTEN[self.path] = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+
+    def _where(self, part: int):
+        jvm, jsc = _WRITTEN[self.path]
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.by}={part}")
+        return where.getFileSystem(jsc.hadoopConfiguration()), where
+
+    def read(self, part: int) -> DataFrame:
+        """The part's rows, none where nothing was written."""
+        fs, where = self._where(part)
+        if not fs.exists(where):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(where.toString())
+
+    def drop(self, part: int) -> None:
+        fs, where = self._where(part)
+        fs.delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver's cleaner delete the shuffle files of jobs that are over: it acts when the JVM collects its garbage, which
+    a driver of few objects seldom does."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(path: str) -> None:
     jvm, jsc = _WRITTEN.pop(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
