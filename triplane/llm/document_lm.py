@@ -8,10 +8,10 @@ how many places in other documents match it.
 Documents form blocks of about ``block_words`` words, coded by a vocabulary of the block. A round asks, for each open start
 of a block, how often the n-gram of one length occurs: a block sends its distinct n-grams with their counts to the shards,
 so a frequent one is one row a block, whatever its share; shards add the counts and answer in the order of what was sent.
-Lengths are 1, 2, 3, 4, 8, 16 ... until no query shares the n-gram with another document, then halfway between two lengths whose
-counts differ. All places of one n-gram were asked for the same lengths up to it, so the askers of an n-gram are all its
-places; places that no query shares drop out, whole documents with them. Rounds are about twice the logarithm of the longest
-match and soon small.
+Lengths are 1 and 2 at once, 3, 4, 8, 16 ... until no query shares the n-gram with another document, then halfway between two
+lengths whose counts differ. All places of one n-gram were asked for the same lengths up to it, so the askers of an n-gram are
+all its places; places that no query shares drop out, and words that no n-gram still asked about can reach. Rounds are about
+twice the logarithm of the longest match and soon small.
 """
 
 from __future__ import annotations
@@ -19,45 +19,57 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplane.llm.ngram_lm import SCORES, STRENGTH, score_columns, summary
-from triplane.llm.tables import Kept, arrow_batches, materialize, sweep
+from triplane.llm.tables import Kept, arrow_batches, sweep
 from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 
 BLOCK_WORDS, SHARD_KEYS = 1_000_000, 2_000_000
 #: Lengths are asked for one by one up to this, doubled beyond.
 EACH = 4
-_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "asked": np.bool_, "at": np.int32, "lo": np.int32, "hi": np.int32, "c_lo": np.int64, "c_hi": np.int64}
+_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "at": np.int64, "lo": np.int64, "hi": np.int64, "c_lo": np.int64, "c_hi": np.int64}
 _FOUND = {"f_doc": np.int32, "f_start": np.int32, "f_length": np.int32, "f_places": np.int64}
 _STATE = "block long, kind int, open long, " + ", ".join(f"{name} binary" for name in [*_ARRAYS, *_FOUND])
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array's bytes, those of one place in its numbers side by side, compressed."""
+    """An array as its narrowest kind of number, the bytes of one place side by side, compressed. Ascending numbers are packed
+    best by their differences."""
+    if not len(a):
+        return b""
+    if a.dtype != np.uint64:
+        low, high = (int(x) for x in (a.min(), a.max()))
+        a = a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if 0 <= low and high <= np.iinfo(k).max or k is np.int64))
     a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if len(a) else b""
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def unpack(data: bytes | None, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    width = data[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    flat = np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64 if kind is np.uint64 else np.int64}[width]).ravel()
+    return flat.astype(kind, copy=False)
 
 
 @dataclass
 class Block:
-    """Words of documents ``docs`` (numbers in the whole block; ``asked``: queries), and open intervals of lengths: the n-gram
-    from word ``at`` has c_lo places at length lo and c_hi at length hi, or no length is an end yet where hi is 0."""
+    """Stretches of documents (``docs``: numbers in the whole block; ``offsets``: words before; ``asked``: of a query) and open
+    intervals of lengths: the n-gram from word ``at`` has c_lo places at length lo and c_hi at length hi, or no length is an end
+    yet where hi is 0. A fresh block has no intervals: all is open."""
 
     vocabulary: np.ndarray
     codes: np.ndarray
     bounds: np.ndarray
     docs: np.ndarray
+    offsets: np.ndarray
     asked: np.ndarray
     at: np.ndarray
     lo: np.ndarray
@@ -65,47 +77,58 @@ class Block:
     c_lo: np.ndarray
     c_hi: np.ndarray
 
-    def lengths(self) -> np.ndarray:
-        return np.where(self.hi > 0, (self.lo + self.hi) // 2, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)).astype(np.int64)
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(starts whose n-gram ends within its document, their documents, distinct n-gram hashes, each start's among them)."""
-        length, doc = self.lengths(), np.searchsorted(self.bounds, self.at, side="right") - 1
-        inside = np.flatnonzero(self.at + length <= self.bounds[doc + 1])
+    def questions(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each set of n-grams that is asked about: (intervals whose n-gram ends within its stretch, stretches, lengths,
+        distinct n-gram hashes in order, each interval's place among them)."""
+        n = len(self.codes)
         step = np.uint64(0xD6E8FEB86659FD93)
-        if len(self.lo) and not self.lo.any() and len(inside) == len(self.codes):  # single words: the vocabulary knows them
-            keys = mix(self.vocabulary + step)
-            order = np.argsort(keys)
-            rank = np.empty(len(keys), np.int64)
-            rank[order] = np.arange(len(keys))
-            return inside, doc, keys[order], rank[self.codes]
-        total = np.zeros(len(self.codes) + 1, np.uint64)
-        np.cumsum(self.vocabulary[self.codes] * _power(_BASE, len(self.codes)), out=total[1:])
-        first, n = self.at[inside], length[inside]
-        keys = mix((total[first + n] - total[first]) * _power(_INVERSE, len(self.codes) + 1)[first] + n.astype(np.uint64) * step)
-        return inside, doc[inside], *np.unique(keys, return_inverse=True)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.vocabulary[self.codes] * _power(_BASE, n), out=total[1:])
+
+        def asked(at: np.ndarray, length: np.ndarray):
+            part = np.searchsorted(self.bounds, at, side="right") - 1
+            inside = np.flatnonzero(at + length <= self.bounds[part + 1])
+            first, size = at[inside], length[inside]
+            keys = mix((total[first + size] - total[first]) * _power(_INVERSE, n + 1)[first] + size.astype(np.uint64) * step)
+            which, own = pd.factorize(keys)
+            order = np.argsort(own)
+            rank = np.empty(len(own), np.int64)
+            rank[order] = np.arange(len(own))
+            return inside, part[inside], length, own[order], rank[which]
+
+        if len(self.at):
+            return [asked(self.at, np.where(self.hi > 0, (self.lo + self.hi) // 2, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)))]
+        every = np.arange(n)
+        keys = mix(self.vocabulary + step)  # single words: the vocabulary knows them
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        part = np.repeat(np.arange(len(self.docs)), np.diff(self.bounds))
+        return [(every, part, np.ones(n, np.int64), keys[order], rank[self.codes]), asked(every, np.full(n, 2))]
 
     def kept(self, at: np.ndarray, lo: np.ndarray, c_lo: np.ndarray, hi: np.ndarray, c_hi: np.ndarray) -> Block:
-        """These intervals, and the documents that hold them."""
-        doc = np.searchsorted(self.bounds, at, side="right") - 1
-        some = np.zeros(len(self.docs), bool)
-        some[doc] = True
-        n = np.diff(self.bounds)
-        bounds = np.concatenate([[0], np.cumsum(n[some])])
-        moved = np.cumsum(some) - 1
-        used, codes = np.unique(self.codes[np.repeat(some, n)], return_inverse=True)
-        return Block(self.vocabulary[used], codes, bounds, self.docs[some], self.asked[some], at - self.bounds[doc] + bounds[moved[doc]], lo, hi, c_lo, c_hi)
+        """These intervals, those without an end first and in order, and the stretches that they can reach into."""
+        n = len(self.codes)
+        ends = np.minimum(at + hi, self.bounds[np.searchsorted(self.bounds, at, side="right")])
+        free = np.count_nonzero(hi == 0)
+        if free:  # a match that goes on goes on from the next word too: it ends where a run of such starts does
+            last = np.append(np.flatnonzero(np.diff(at[:free]) != 1), free - 1)
+            ends[:free] = (at[last] + lo[last])[np.searchsorted(last, np.arange(free))]
+        covered = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+        begins = covered & ~np.append(False, covered[:-1])
+        begins[self.bounds[:-1]] = covered[self.bounds[:-1]]
+        begins = np.flatnonzero(begins)
+        part = np.searchsorted(self.bounds, begins, side="right") - 1
+        place = np.cumsum(covered) - 1
+        used, codes = np.unique(self.codes[covered], return_inverse=True)
+        return Block(self.vocabulary[used], codes, np.append(place[begins], len(codes)), self.docs[part], self.offsets[part] + begins - self.bounds[part], self.asked[part], place[at], lo, hi, c_lo, c_hi)
 
     def row(self) -> dict[str, bytes]:
-        return {f.name: pack(getattr(self, f.name).astype(_ARRAYS[f.name])) for f in fields(self)}
+        return {f.name: pack(getattr(self, f.name)) for f in fields(self)}
 
 
 def _read(table: pa.Table | pa.RecordBatch, i: int = 0) -> Block:
-    b = Block(**{name: unpack(table.column(name)[i].as_py(), kind) for name, kind in _ARRAYS.items()})
-    if not len(b.lo):  # the first round: every word is open
-        n = len(b.codes)
-        b.at, b.lo, b.hi, b.c_lo, b.c_hi = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    return b
+    return Block(**{name: unpack(table.column(name)[i].as_py(), kind) for name, kind in _ARRAYS.items()})
 
 
 def _table(columns: dict[str, list], schema: str) -> pa.Table:
@@ -114,23 +137,27 @@ def _table(columns: dict[str, list], schema: str) -> pa.Table:
     return pa.table({name: pa.array(columns[name], kinds[kind]) for name, kind in names.items()})
 
 
-_SENT = "shard int, block long, keys binary, counts binary, flags binary"
-_ANSWER = "block long, shard int, counts binary"
+_SENT = "shard int, block long, part int, keys binary, counts binary, flags binary"
+_ANSWER = "block long, part int, shard int, counts binary"
 
 
 def _sent(block: int, b: Block, shards: int) -> pa.Table:
     """A row for each shard that holds n-grams of the block: sorted keys, how often each occurs here, and whether a query and
     whether several documents have it."""
-    _, doc, keys, which = b.grams()
-    query, last, many = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    query[which[b.asked[doc]]] = True
-    last[which] = doc
-    many[which[doc != last[which]]] = True
-    counts, flags = np.bincount(which, minlength=len(keys)), query.astype(np.uint8) | many.astype(np.uint8) << 1
-    cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-    held = np.flatnonzero(np.diff(cut))
-    parts = [slice(cut[k], cut[k + 1]) for k in held]
-    return _table({"shard": held, "block": np.full(len(held), block), "keys": [pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], "counts": [pack(counts[p]) for p in parts], "flags": [pack(flags[p]) for p in parts]}, _SENT)
+    rows: dict[str, list] = {x.split()[0]: [] for x in _SENT.split(", ")}
+    for number, (_, part, _, keys, which) in enumerate(b.questions()):
+        doc = b.docs[part]
+        query, last, many = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        query[which[b.asked[part]]] = True
+        last[which] = doc
+        many[which[doc != last[which]]] = True
+        counts, flags = np.bincount(which, minlength=len(keys)), query.astype(np.uint8) | many.astype(np.uint8) << 1
+        cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            p = slice(cut[k], cut[k + 1])
+            for name, x in zip(rows, (k, block, number, pack(np.diff(keys[p], prepend=np.uint64(0))), pack(counts[p]), pack(flags[p])), strict=True):
+                rows[name].append(x)
+    return _table(rows, _SENT)
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -138,7 +165,7 @@ def _counted(table: pa.Table) -> pa.Table:
     keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
     counts = np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()])
     flags = np.concatenate([unpack(x, np.uint8) for x in table.column("flags").to_pylist()])
-    own, which = np.unique(np.concatenate(keys), return_inverse=True)
+    which, own = pd.factorize(np.concatenate(keys))
     places = np.zeros(len(own), np.int64)
     np.add.at(places, which, counts)
     query, many = np.zeros(len(own), bool), np.bincount(which, minlength=len(own)) > 1
@@ -146,48 +173,68 @@ def _counted(table: pa.Table) -> pa.Table:
     many[which[flags & 2 > 0]] = True
     places[~(query & many)] = 0
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    return _table({"block": table.column("block"), "shard": table.column("shard"), "counts": [pack(x) for x in np.split(places[which], ends)]}, _ANSWER)
+    return _table({"block": table.column("block"), "part": table.column("part"), "shard": table.column("shard"), "counts": [pack(x) for x in np.split(places[which], ends)]}, _ANSWER)
 
 
 def _next(state: pa.Table, answers: pa.Table) -> pa.Table:
     """A row (kind 0) with the block's intervals that are still open, and one (kind 1) with what queries found."""
     block, b = state.column("block")[0].as_py(), _read(state)
-    inside, doc, keys, which = b.grams()
-    order = np.argsort(answers.column("shard").to_numpy())
-    parts = answers.column("counts").to_pylist()
-    length, c = b.lengths(), np.zeros(len(b.lo), np.int64)
-    if len(inside):
-        c[inside] = np.concatenate([unpack(parts[i], np.int64) for i in order])[which]
-    mine = np.flatnonzero(b.asked[doc] & (c[inside] > 0))
-    _, same, times = np.unique(which[mine] * len(b.docs) + doc[mine], return_inverse=True, return_counts=True)
-    at = inside[mine]
-    found = {"f_doc": b.docs[doc[mine]], "f_start": b.at[at] - b.bounds[doc[mine]], "f_length": length[at], "f_places": c[at] - times[same]}
-    further = (b.hi == 0) & (c > 0)
-    below = (length - b.lo > 1) & (c != b.c_lo)
-    above = (b.hi - length > 1) & (c != b.c_hi)
+    order = np.lexsort((answers.column("shard").to_numpy(), answers.column("part").to_numpy()))
+    parts, numbers = answers.column("counts").to_pylist(), answers.column("part").to_numpy()
+    found: dict[str, list] = {name: [] for name in _FOUND}
+    for number, (inside, part, length, _, which) in enumerate(b.questions()):
+        c = np.zeros(len(length), np.int64)
+        if len(inside):
+            c[inside] = np.concatenate([unpack(parts[i], np.int64) for i in order if numbers[i] == number])[which]
+        mine = np.flatnonzero(b.asked[part] & (c[inside] > 0))
+        doc, at = b.docs[part[mine]].astype(np.int64), inside[mine]
+        same, pairs = pd.factorize((which[mine] << 32) + doc)
+        times = np.bincount(same, minlength=len(pairs))
+        word = b.at[at] if len(b.at) else at
+        for name, x in zip(_FOUND, (doc, b.offsets[part[mine]] + word - b.bounds[part[mine]], length[at], c[at] - times[same]), strict=True):
+            found[name].append(x)
+    if len(b.at):
+        at, lo, hi, c_lo, c_hi = b.at, b.lo, b.hi, b.c_lo, b.c_hi
+    else:  # single words and the next length are settled
+        at = np.arange(len(b.codes))
+        lo, hi, c_lo, c_hi = np.ones(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    further = (hi == 0) & (c > 0)
+    below = (length - lo > 1) & (c != c_lo)
+    above = (hi - length > 1) & (c != c_hi)
     zero = np.zeros(further.sum(), np.int64)
-    intervals = [np.concatenate(x) for x in zip((b.at[further], length[further], c[further], zero, zero), (b.at[below], b.lo[below], b.c_lo[below], length[below], c[below]), (b.at[above], length[above], c[above], b.hi[above], b.c_hi[above]), strict=True)]
+    intervals = [np.concatenate(x) for x in zip((at[further], length[further], c[further], zero, zero), (at[below], lo[below], c_lo[below], length[below], c[below]), (at[above], length[above], c[above], hi[above], c_hi[above]), strict=True)]
     rows = []
     none = dict.fromkeys([*_ARRAYS, *_FOUND])
     if len(intervals[0]):
         rows.append(none | {"block": block, "kind": 0, "open": len(intervals[0])} | b.kept(*intervals).row())
-    if len(mine):
-        rows.append(none | {"block": block, "kind": 1, "open": 0} | {name: pack(found[name].astype(kind)) for name, kind in _FOUND.items()})
+    if any(map(len, found["f_doc"])):
+        rows.append(none | {"block": block, "kind": 1, "open": 0} | {name: pack(np.concatenate(found[name])) for name in _FOUND})
     return _table({x.split()[0]: [r[x.split()[0]] for r in rows] for x in _STATE.split(", ")}, _STATE)
 
 
+_FRESH = ("vocabulary", "codes", "bounds", "docs", "offsets", "asked")
+_INFO = "block long, kind int, open long, {ids}, words long, sizes binary, queries binary, " + ", ".join(f"{c} binary" for c in _FRESH)
+
+
 def _blocks(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
-    """(block, ids of queries, words, open, vocabulary, codes, bounds, docs, asked) from rows (item_id, text, query)."""
+    """Two rows for each block, from rows (item_id, text, query): kind 0 has its words, kind 1 the ids of its queries, and the
+    sizes of its documents with whether they are queries."""
+    schema = _INFO.format(ids=f"ids array<{id_type}>")
 
     def built(batches):
-        ids, queries, sizes, words, held = [], [], [], [], 0
+        ids, queries, sizes, words, held, made = [], [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            vocabulary, codes = np.unique(np.concatenate(words), return_inverse=True)
-            n, asked = np.concatenate(sizes), np.concatenate(queries)
-            columns = {"vocabulary": vocabulary, "codes": codes, "bounds": np.concatenate([[0], np.cumsum(n)]), "docs": np.arange(len(n)), "asked": asked}
-            own = pa.concat_arrays(ids)
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([len(codes)], pa.int64()), *(pa.array([pack(a.astype(_ARRAYS[name]))], pa.binary()) for name, a in columns.items())], ["ids", "words", *columns])
+            distinct, codes, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            n, query, own = np.concatenate(sizes), np.concatenate(queries), pa.concat_arrays(ids)
+            full = np.flatnonzero(n)
+            fresh = {"vocabulary": distinct[order], "codes": rank[codes], "bounds": np.concatenate([[0], np.cumsum(n[full])]), "docs": full, "offsets": np.zeros(len(full), np.int64), "asked": query[full]}
+            lists = pa.ListArray.from_arrays(pa.array([0, 0, len(own)], pa.int32()), own)
+            columns = [pa.array([made] * 2), pa.array([0, 1], pa.int32()), pa.array([len(codes), 0]), lists, pa.array([0, len(codes)]), *(pa.array([None, pack(x)], pa.binary()) for x in (n, query)), *(pa.array([pack(fresh[c]), None], pa.binary()) for c in _FRESH)]
+            return pa.RecordBatch.from_arrays(columns, ["block", "kind", "open", "ids", "words", "sizes", "queries", *_FRESH])
 
         for batch in batches:
             w = hash_words(batch.column("text").to_pylist())
@@ -200,22 +247,18 @@ def _blocks(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
             held += len(w.hashes)
             if held >= block_words:
                 yield out()
-                ids, queries, sizes, words, held = [], [], [], [], 0
+                ids, queries, sizes, words, held, made = [], [], [], [], 0, made + 1
         if ids:
             yield out()
 
-    columns = ["vocabulary", "codes", "bounds", "docs", "asked"]
-    made = rows.mapInArrow(built, f"ids array<{id_type}>, words long, {', '.join(f'{c} binary' for c in columns)}")
-    return made.select(F.monotonically_increasing_id().alias("block"), F.lit(0).alias("kind"), F.col("words").alias("open"), "ids", "words", *columns, *[F.lit(None).cast("binary").alias(c) for c in [*_ARRAYS, *_FOUND] if c not in columns])
+    return rows.mapInArrow(built, schema)
 
 
-def _rounds(spark: SparkSession, first: DataFrame, shard_keys: int) -> list[Kept]:
+def _rounds(spark: SparkSession, blocks: Kept, shard_keys: int) -> list[Kept]:
     """The tables of all rounds; rows of kind 1 are what queries found."""
-    state, tables = first, []
-    while True:
-        open_ = state.agg(F.sum("open")).first()[0]
-        if not open_:
-            return tables
+    state = blocks.read(0).select("block", "open", *[F.col(c) if c in _FRESH else F.lit(None).cast("binary").alias(c) for c in _ARRAYS])
+    tables = [blocks]
+    while open_ := state.agg(F.sum("open")).first()[0]:
         shards = -(-open_ // shard_keys)
 
         def sent(batches, shards=shards):
@@ -226,10 +269,10 @@ def _rounds(spark: SparkSession, first: DataFrame, shard_keys: int) -> list[Kept
         answers = state.mapInArrow(sent, _SENT).groupBy("shard").applyInArrow(_counted, _ANSWER)
         after = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next, _STATE)
         tables.append(Kept(after, "kind"))
-        if len(tables) > 1:
-            tables[-2].drop(0)
-        state = tables[-1].read(0)
+        tables[-2].drop(0)
+        state = tables[-1].read(0).select("block", "open", *_ARRAYS)
         sweep(spark)
+    return tables[1:]
 
 
 def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH, block_words: int = BLOCK_WORDS, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -245,9 +288,10 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
     query = F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(True)
     rows = docs.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"), query.alias("query"))
     id_type = rows.schema["item_id"].dataType.simpleString()
-    blocks = materialize(_blocks(rows, block_words, id_type))
-    size = blocks.agg(F.sum("words")).first()[0] or 0
-    found = [t.read(1) for t in _rounds(spark, blocks.drop("ids", "words"), shard_keys)]
+    blocks = Kept(_blocks(rows, block_words, id_type), "kind")
+    every = blocks.read(1)
+    size = every.agg(F.sum("words")).first()[0] or 0
+    found = [t.read(1) for t in _rounds(spark, blocks, shard_keys)]
     found_schema = "block long, " + ", ".join(f"{c} binary" for c in _FOUND)
     parts = spark.createDataFrame([], found_schema)
     for f in found:
@@ -256,7 +300,7 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"item_id": left.column("ids").combine_chunks().flatten()} | score_columns([]))
-        n, query = np.diff(unpack(left.column("bounds")[0].as_py(), np.int64)), unpack(left.column("asked")[0].as_py(), np.bool_)
+        n, query = unpack(left.column("sizes")[0].as_py(), np.int64), unpack(left.column("queries")[0].as_py(), np.bool_)
         doc, start, length, places = (np.concatenate([unpack(x, kind) for x in right.column(c).to_pylist()] or [np.zeros(0, kind)]).astype(np.int64) for c, kind in _FOUND.items())
         order = np.lexsort((length, start, doc))
         doc, start, length, places = doc[order], start[order], length[order], places[order]
@@ -266,5 +310,5 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
             out.append(summary(start[a:b], length[a:b], places[a:b], int(n[d]), size - int(n[d]), strength))
         return pa.table({"item_id": left.column("ids").combine_chunks().flatten()} | score_columns(out))
 
-    every = blocks.select("block", "ids", "bounds", "asked").where(F.size("ids") > 0).groupBy("block")
-    return every.cogroup(parts.groupBy("block")).applyInArrow(score, f"item_id {id_type}, {SCORES}")
+    asked_blocks = every.select("block", "ids", "sizes", "queries").where(F.size("ids") > 0).groupBy("block")
+    return asked_blocks.cogroup(parts.groupBy("block")).applyInArrow(score, f"item_id {id_type}, {SCORES}")
