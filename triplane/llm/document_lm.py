@@ -31,6 +31,8 @@ from triplane.llm.tables import Kept, arrow_batches, sweep
 from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 
 BLOCK_WORDS, SHARD_KEYS = 1_000_000, 2_000_000
+#: Open intervals for which a round has one more task, up to the session's shuffle partitions: late rounds are small.
+TASK_OPEN = 500_000
 #: Lengths are asked for one by one up to this, doubled beyond.
 EACH = 4
 _ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "at": np.int64, "lo": np.int64, "hi": np.int64, "c_lo": np.int64, "c_hi": np.int64}
@@ -39,22 +41,24 @@ _STATE = "block long, kind int, open long, " + ", ".join(f"{name} binary" for na
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array as its narrowest kind of number, the bytes of one place side by side, compressed. Ascending numbers are packed
-    best by their differences."""
+    """An array as its narrowest kind of number, the parts of one place in its numbers side by side, compressed. Ascending
+    numbers are packed best by their differences."""
     if not len(a):
         return b""
     if a.dtype != np.uint64:
         low, high = (int(x) for x in (a.min(), a.max()))
         a = a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if 0 <= low and high <= np.iinfo(k).max or k is np.int64))
     a = np.ascontiguousarray(a)
-    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+    unit = 2 if a.itemsize == 8 else 1
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(f"u{unit}").reshape(len(a), -1).T))
 
 
 def unpack(data: bytes | None, kind: type) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
     width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(width, -1)
+    unit = 2 if width == 8 else 1
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), f"u{unit}").reshape(width // unit, -1)
     flat = np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64 if kind is np.uint64 else np.int64}[width]).ravel()
     return flat.astype(kind, copy=False)
 
@@ -85,8 +89,7 @@ class Block:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.vocabulary[self.codes] * _power(_BASE, n), out=total[1:])
 
-        def asked(at: np.ndarray, length: np.ndarray):
-            part = np.searchsorted(self.bounds, at, side="right") - 1
+        def asked(at: np.ndarray, part: np.ndarray, length: np.ndarray):
             inside = np.flatnonzero(at + length <= self.bounds[part + 1])
             first, size = at[inside], length[inside]
             keys = mix((total[first + size] - total[first]) * _power(_INVERSE, n + 1)[first] + size.astype(np.uint64) * step)
@@ -97,14 +100,14 @@ class Block:
             return inside, part[inside], length, own[order], rank[which]
 
         if len(self.at):
-            return [asked(self.at, np.where(self.hi > 0, (self.lo + self.hi) // 2, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)))]
+            return [asked(self.at, np.searchsorted(self.bounds, self.at, side="right") - 1, np.where(self.hi > 0, (self.lo + self.hi) // 2, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)))]
         every = np.arange(n)
         keys = mix(self.vocabulary + step)  # single words: the vocabulary knows them
         order = np.argsort(keys)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
         part = np.repeat(np.arange(len(self.docs)), np.diff(self.bounds))
-        return [(every, part, np.ones(n, np.int64), keys[order], rank[self.codes]), asked(every, np.full(n, 2))]
+        return [(every, part, np.ones(n, np.int64), keys[order], rank[self.codes]), asked(every, part, np.full(n, 2))]
 
     def kept(self, at: np.ndarray, lo: np.ndarray, c_lo: np.ndarray, hi: np.ndarray, c_hi: np.ndarray) -> Block:
         """These intervals, those without an end first and in order, and the stretches that they can reach into."""
@@ -266,8 +269,9 @@ def _rounds(spark: SparkSession, blocks: Kept, shard_keys: int) -> list[Kept]:
                 for i in range(batch.num_rows):
                     yield from _sent(batch.column("block")[i].as_py(), _read(batch, i), shards).to_batches()
 
-        answers = state.mapInArrow(sent, _SENT).groupBy("shard").applyInArrow(_counted, _ANSWER)
-        after = state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_next, _STATE)
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-open_ // TASK_OPEN))
+        answers = state.mapInArrow(sent, _SENT).repartition(tasks, "shard").groupBy("shard").applyInArrow(_counted, _ANSWER)
+        after = state.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_next, _STATE)
         tables.append(Kept(after, "kind"))
         tables[-2].drop(0)
         state = tables[-1].read(0).select("block", "open", *_ARRAYS)
