@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from triplane.llm.chat import format_reply_trees, reply_parents
 
 SCHEMA = "tree long, node long, parent long, role string, text string, extra int, score string"
@@ -48,7 +50,15 @@ def test_same_as_brute_force(spark):
 def test_nulls_ties_repeats_and_empty(spark):
     schema = "conv_id long, turn long, role string, text string, tree int, node string"
     rows = [(1, 1, "user", "q", 0, ""), (1, 1, "user", "q", 0, ""), (1, 2, "assistant", "aa", 0, ""), (1, 3, "assistant", "bb", 0, ""), (2, 1, None, None, 0, ""), (None, 1, "user", "x", 0, ""), (3, None, "user", "x", 0, "")]
-    got = sorted(map(tuple, format_reply_trees(reply_parents(spark.createDataFrame(rows, schema)))
+    got = sorted(map(tuple, format_reply_trees(reply_parents(spark.createDataFrame(rows, schema)), best=1)
                      .select("tree", "leaf", "n_messages", "conversation").collect()))
     assert got == [(1, 2, 2, "<|user|>\nq\n<|assistant|>\naa\n"), (2, 1, 1, "<|unknown|>\n\n")]
     assert format_reply_trees(reply_parents(spark.createDataFrame([], schema))).collect() == []
+
+
+def test_rows_that_repeat_or_lack_a_key(spark):
+    rows = [(1, 1, None, "user", "q"), (1, 1, None, "user", "q"), (1, 2, 1, "assistant", "a"), (1, 2, 1, "assistant", "a"), (1, 2, 1, "assistant", "b"), (1, 3, 2, None, None), (None, 1, None, "user", "x"), (2, None, None, "user", "x"), (1, 4, 1, "user", "z")]
+    df = spark.createDataFrame([(*r, 1, "s") for r in rows], SCHEMA)
+    got = sorted(map(tuple, format_reply_trees(df, best=5).select("branch", "leaf", "n_messages", "conversation").collect()))
+    assert got == [(1, 3, 3, "<|user|>\nq\n<|assistant|>\na\n<|unknown|>\n\n"), (2, 4, 2, "<|user|>\nq\n<|user|>\nz\n")]
+    assert len(format_reply_trees(df, score=F.lit(None)).collect()) == 2

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triplane.llm.tables import materialize, release
 
-BEST = 1
+BEST = 3
 
 
 def reply_parents(conversations: DataFrame) -> DataFrame:
@@ -38,12 +38,15 @@ def answer_length() -> Column:
 def format_reply_trees(messages: DataFrame, score: Column | None = None, best: int = BEST) -> DataFrame:
     """(tree, branch, leaf, n_messages, mean_score, conversation): the ``best`` root-to-leaf paths of each tree.
 
-    messages: (tree, node, parent, role, text), node unique in its tree. score: a long column over role and text. Branches
-    rank by mean score, then by the leaf's number, from 1. conversation is ``<|role|>``, a line break, the text and a line
+    messages: (tree, node, parent, role, text). Rows without tree or node are dropped; of rows of one node the least stands, by
+    parent (null first), role and text, so repeated rows count once; a null role is "unknown", a null text empty. score: a long
+    column over role and text, a null score 0. Branches rank by mean score, then by the leaf's number, from 1. conversation is ``<|role|>``, a line break, the text and a line
     break for each message from the root on. A message whose parent isn't there starts a path itself. Messages on or below a
     cycle of parents are left out. Extra columns play no part. No messages give no rows.
     """
-    base = materialize(messages.select("tree", "node", "parent", "role", "text").withColumn("score", (score if score is not None else answer_length()).cast("long")))
+    rows = messages.select("tree", "node", F.struct("parent", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
+    one = rows.where("tree is not null and node is not null").groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*")
+    base = materialize(one.withColumn("score", F.coalesce((score if score is not None else answer_length()).cast("long"), F.lit(0))))
     keys = base.select("tree", F.col("node").alias("up"))
     links = base.select("tree", "node", F.col("parent").alias("up"), "score").join(keys, ["tree", "up"], "left_semi")
     roots = base.join(links.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.lit(None).cast("long").alias("up"), "score")
@@ -101,5 +104,5 @@ WITH RECURSIVE rows_ AS (
   SELECT *, CAST(total AS DOUBLE) / n AS mean_score, row_number() OVER (PARTITION BY tree ORDER BY CAST(total AS DOUBLE) / n DESC, node) AS branch
   FROM paths p WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.tree = p.tree AND c.parent = p.node)
 )
-SELECT tree, branch, node AS leaf, CAST(n AS BIGINT) AS n_messages, mean_score, conversation FROM ranked WHERE branch <= 1
+SELECT tree, branch, node AS leaf, CAST(n AS BIGINT) AS n_messages, mean_score, conversation FROM ranked WHERE branch <= 3
 """

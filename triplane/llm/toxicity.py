@@ -3,8 +3,9 @@
 P(severity > c) = sigmoid(w.x - theta_c): one weight vector for all thresholds theta_0 <= theta_1 <= ... The expected
 severity is the sum of these probabilities. Features are the presence of hashed words and of longer words' first bytes.
 
-Labels say toxic or not. Grades 1 to 3 of the toxic rows are their thirds by the share of a text's features that mark
-toxicity in the sample; grade 0 is not toxic.
+Grades come from the labels alone, never from the texts: any whole numbers from 0, not toxic, up. Tables that only say toxic
+or not, and good or not, give three: 0 not toxic, 1 toxic in a text of no quality, 2 toxic in a text of good quality, which
+nothing else would keep out.
 """
 
 from __future__ import annotations
@@ -62,14 +63,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def severity_grades(toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """0 for rows that aren't toxic; 1 to 3 for thirds of the toxic rows by their share of features that mark toxicity."""
-    grades = np.zeros(len(toxic), np.int64)
-    if toxic.any():
-        grades[toxic] = 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share[toxic], side="left")
-    return grades
-
-
 def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, steps: int = 300, rate: float = 0.5, l2: float = 1e-5) -> Model:
     """Adagrad on the mean cumulative-link loss with an L2 penalty. (rows, features): the sparse 0/1 matrix."""
     n, top = len(grades), int(grades.max(initial=0))
@@ -96,11 +89,20 @@ def fit_ordinal(rows: np.ndarray, features: np.ndarray, grades: np.ndarray, step
     return Model(used, w, theta)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fits on a bounded sample of labelled rows. Null ids, labels and texts are left out; labels of one class only, or
-    none, give a model that finds every severity 0. The driver gets the features that pass the screen, no others."""
+def label_grade(labels: DataFrame) -> Column:
+    """The grade of a row of labels (toxic, and quality if there); null where toxic is."""
+    worse = F.when(F.col("quality") > 0, 1).otherwise(0) if "quality" in labels.columns else F.lit(0)
+    return F.when(F.col("toxic") > 0, 1 + worse).when(F.col("toxic").isNotNull(), 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", grade: Column | None = None) -> Model:
+    """Fits on a bounded sample of labelled rows. grade: a column over labels, ``label_grade`` unless given; several labels of an
+    id count as the highest. Ids are whole numbers, or strings of them (others raise). Null ids, grades and texts are left out;
+    documents that repeat count as often; labels of one class only, or none, give a model that finds every severity 0. Long texts
+    are read whole; other columns play no part. The driver gets the features that pass the screen, no others."""
     arrow_batches(docs.sparkSession)
-    asked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
+    of = (grade if grade is not None else label_grade(labels)).cast("int")
+    asked = labels.select(F.col(id_col).cast("long").alias("id"), of.alias("grade")).where("id is not null and grade is not null").groupBy("id").agg(F.greatest(F.max("grade"), F.lit(0)).alias("grade"))
     sample = asked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id")
 
@@ -108,19 +110,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         for batch in batches:
             rows, feats = text_features(batch.column("text").to_pylist())
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats, pa.int32()))], ["id", "toxic", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats, pa.int32()))], ["id", "grade", "f"])
 
-    held = materialize(joined.select("id", "toxic", "text").mapInArrow(extract, "id long, toxic boolean, f array<int>"))
-    n, bad = held.agg(F.count(F.lit(1)), F.sum(F.col("toxic").cast("long"))).first()
+    held = materialize(joined.select("id", "grade", "text").mapInArrow(extract, "id long, grade int, f array<int>"))
+    n, bad = held.agg(F.count(F.lit(1)), F.count_if(F.col("grade") > 0)).first()
     if not n or not bad or bad == n:
         release(held)
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
     base = bad / n
-    each = held.select(F.explode("f").alias("f"), F.col("toxic").cast("long").alias("t")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("b"))
+    each = held.select(F.explode("f").alias("f"), F.col("grade").cast("boolean").cast("long").alias("t")).groupBy("f").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("b"))
     far = F.abs(F.col("b") - F.col("c") * base) >= Z * F.sqrt(F.col("c") * (base * (1 - base)))
-    screened = each.where((F.col("c") >= SUPPORT) & far).toArrow().sort_by("f")
-    chosen, count, toxic_count = (screened.column(c).to_numpy().astype(np.int64) for c in ("f", "c", "b"))
-    marks = chosen[np.log((toxic_count + 0.5) / (count - toxic_count + 0.5) * (1 - base) / base) > 2]
+    chosen = each.where((F.col("c") >= SUPPORT) & far).select("f").toArrow().sort_by("f").column("f").to_numpy().astype(np.int64)
 
     def restrict(batches):
         for batch in batches:
@@ -128,16 +128,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
             size = np.asarray(lists.value_lengths())
             feats = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(len(size)), size)
-            share = np.bincount(owner, weights=np.isin(feats, marks), minlength=len(size)) / np.maximum(size, 1)
             keep = np.isin(feats, chosen)
             bounds = np.searchsorted(owner[keep], np.arange(len(size) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(share), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats[keep], pa.int32()))], ["id", "toxic", "share", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feats[keep], pa.int32()))], ["id", "grade", "f"])
 
-    got = held.mapInArrow(restrict, "id long, toxic boolean, share double, f array<int>").toArrow().sort_by("id")
+    got = held.mapInArrow(restrict, "id long, grade int, f array<int>").toArrow().sort_by("id")
     release(held)
     lists = got.column("f").combine_chunks()
     rows = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
-    return fit_ordinal(rows, lists.flatten().to_numpy().astype(np.int64), severity_grades(got.column("toxic").to_numpy(), got.column("share").to_numpy()))
+    return fit_ordinal(rows, lists.flatten().to_numpy().astype(np.int64), got.column("grade").to_numpy().astype(np.int64))
 
 
 def severity(text: Column | str, model: Model) -> Column:
