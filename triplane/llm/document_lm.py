@@ -30,12 +30,12 @@ from triplane.llm.ngram_lm import SCORES, STRENGTH, score_columns, summary
 from triplane.llm.tables import Kept, arrow_batches, sweep
 from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 
-BLOCK_WORDS, SHARD_KEYS = 1_000_000, 2_000_000
+BLOCK_WORDS, SHARD_KEYS = 500_000, 2_000_000
 #: Open intervals for which a round has one more task, up to the session's shuffle partitions: late rounds are small.
 TASK_OPEN = 500_000
 #: Lengths are asked for one by one up to this, doubled beyond.
 EACH = 4
-_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "at": np.int64, "lo": np.int64, "hi": np.int64, "c_lo": np.int64, "c_hi": np.int64}
+_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "at": np.int32, "lo": np.int32, "hi": np.int32, "c_lo": np.int64, "c_hi": np.int64}
 _FOUND = {"f_doc": np.int32, "f_start": np.int32, "f_length": np.int32, "f_places": np.int64}
 _STATE = "block long, kind int, open long, " + ", ".join(f"{name} binary" for name in [*_ARRAYS, *_FOUND])
 
@@ -90,7 +90,7 @@ class Block:
         np.cumsum(self.vocabulary[self.codes] * _power(_BASE, n), out=total[1:])
 
         def asked(at: np.ndarray, part: np.ndarray, length: np.ndarray):
-            inside = np.flatnonzero(at + length <= self.bounds[part + 1])
+            inside = np.flatnonzero(at + length <= self.bounds[1:][part])
             first, size = at[inside], length[inside]
             keys = mix((total[first + size] - total[first]) * _power(_INVERSE, n + 1)[first] + size.astype(np.uint64) * step)
             which, own = pd.factorize(keys)
@@ -100,19 +100,23 @@ class Block:
             return inside, part[inside], length, own[order], rank[which]
 
         if len(self.at):
-            return [asked(self.at, np.searchsorted(self.bounds, self.at, side="right") - 1, np.where(self.hi > 0, (self.lo + self.hi) // 2, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)))]
-        every = np.arange(n)
+            return [asked(self.at, self.stretches()[self.at], np.where(self.hi > 0, (self.lo + self.hi) >> 1, np.where(self.lo < EACH, self.lo + 1, 2 * self.lo)))]
+        every = np.arange(n, dtype=np.int32)
         keys = mix(self.vocabulary + step)  # single words: the vocabulary knows them
         order = np.argsort(keys)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
-        part = np.repeat(np.arange(len(self.docs)), np.diff(self.bounds))
-        return [(every, part, np.ones(n, np.int64), keys[order], rank[self.codes]), asked(every, part, np.full(n, 2))]
+        part = self.stretches()
+        return [(every, part, np.ones(n, np.int32), keys[order], rank[self.codes]), asked(every, part, np.full(n, 2, np.int32))]
+
+    def stretches(self) -> np.ndarray:
+        """The stretch of each word."""
+        return np.repeat(np.arange(len(self.docs), dtype=np.int32), np.diff(self.bounds))
 
     def kept(self, at: np.ndarray, lo: np.ndarray, c_lo: np.ndarray, hi: np.ndarray, c_hi: np.ndarray) -> Block:
         """These intervals, those without an end first and in order, and the stretches that they can reach into."""
         n = len(self.codes)
-        ends = np.minimum(at + hi, self.bounds[np.searchsorted(self.bounds, at, side="right")])
+        ends = np.minimum(at + hi, self.bounds[1:][self.stretches()[at]])
         free = np.count_nonzero(hi == 0)
         if free:  # a match that goes on goes on from the next word too: it ends where a run of such starts does
             last = np.append(np.flatnonzero(np.diff(at[:free]) != 1), free - 1)
@@ -199,12 +203,12 @@ def _next(state: pa.Table, answers: pa.Table) -> pa.Table:
     if len(b.at):
         at, lo, hi, c_lo, c_hi = b.at, b.lo, b.hi, b.c_lo, b.c_hi
     else:  # single words and the next length are settled
-        at = np.arange(len(b.codes))
-        lo, hi, c_lo, c_hi = np.ones(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        at = np.arange(len(b.codes), dtype=np.int32)
+        lo, hi, c_lo, c_hi = np.ones(len(at), np.int32), np.zeros(len(at), np.int32), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     further = (hi == 0) & (c > 0)
     below = (length - lo > 1) & (c != c_lo)
     above = (hi - length > 1) & (c != c_hi)
-    zero = np.zeros(further.sum(), np.int64)
+    zero = np.zeros(np.count_nonzero(further), np.int32)
     intervals = [np.concatenate(x) for x in zip((at[further], length[further], c[further], zero, zero), (at[below], lo[below], c_lo[below], length[below], c[below]), (at[above], length[above], c[above], hi[above], c_hi[above]), strict=True)]
     rows = []
     none = dict.fromkeys([*_ARRAYS, *_FOUND])
@@ -274,6 +278,7 @@ def _rounds(spark: SparkSession, blocks: Kept, shard_keys: int) -> list[Kept]:
         after = state.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_next, _STATE)
         tables.append(Kept(after, "kind"))
         tables[-2].drop(0)
+        del answers, after
         state = tables[-1].read(0).select("block", "open", *_ARRAYS)
         sweep(spark)
     return tables[1:]

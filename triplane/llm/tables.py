@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -72,6 +73,7 @@ class Kept:
 def sweep(spark: SparkSession) -> None:
     """Lets the driver's cleaner delete the shuffle files of jobs that are over: it acts when the JVM collects its garbage, which
     a driver of few objects seldom does."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
