@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ def compile_expression(e: Expression, env: Env) -> Ex:
     if e.name in ("and", "or", "not"):
         args = [ebv(compile_expression(a, env)) for a in e.args]
         return Ex(BOOL_KIND, args[0] & args[1] if e.name == "and" else args[0] | args[1] if e.name == "or" else ~args[0])
+    if e.name == "regex":
+        fixed = [a.term.lex for a in e.args[1:] if isinstance(a, Const) and a.term.cat == SIMPLE]
+        return regex(*[compile_expression(a, env) for a in e.args], fixed=fixed if len(fixed) == len(e.args) - 1 else None)
     args = [compile_expression(a, env) for a in e.args]
     return FUNCTIONS[e.name](*args)
 
@@ -251,13 +256,27 @@ def lang_matches(tag: Ex, wanted: Ex) -> Ex:
     return Ex(BOOL_KIND, F.when(w == "*", t != "").otherwise((t == w) | F.startswith(t, F.concat(w, F.lit("-")))))
 
 
-def regex(text: Ex, pattern: Ex, flags: Ex | None = None) -> Ex:
-    """A partial match; flags i, s, m and x, others are an error. Text and pattern must be simple literals."""
+def _compiles(pattern: str) -> bool:
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
+def regex(text: Ex, pattern: Ex, flags: Ex | None = None, fixed: list[str] | None = None) -> Ex:
+    """A partial match; flags i, s, m and x, others are an error, as is a pattern that doesn't compile. Text and pattern must be
+    simple literals. fixed: pattern and flags where the query states them: they are tried when planning; a pattern of the data is
+    tried for each row, which keeps such a filter from being pushed down."""
     p = _simple(pattern)
     if flags is not None:
         f = _simple(flags)
         inline = F.replace(f, F.lit("i"), F.lit("iu"))
         p = F.when(f == "", p).when(f.rlike("^[ismx]+$"), F.concat(F.lit("(?"), inline, F.lit(")"), p))
+    if fixed is None:
+        p = F.when(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull(), p)
+    elif fixed and not _compiles(fixed[0] if len(fixed) < 2 or "x" not in fixed[1] else f"(?x){fixed[0]}"):
+        return Ex(BOOL_KIND, _none("boolean"))
     return Ex(BOOL_KIND, F.rlike(_simple(text), p))
 
 

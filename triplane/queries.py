@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from triplane.functions.terms import BLANK, IRI, XSD, lexical
 from triplane.plans.ast import Triple, Var
 from triplane.plans.planner import run
+from triplane.results import text_lines, xml_results
 from triplane.sources import ntriples
 from triplane.sources.encoded import EncodedStore, build
-from triplane.sources.files import read_statements
-from triplane.sources.mapped import MappedTables, relational_graph
+from triplane.sources.files import documents, read_statements
+from triplane.sources.mapped import MappedTables, Table, relational_graph
 from triplane.sources.shared import shared_path
 
 PREFIX = "PREFIX t: <urn:t:> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
@@ -162,8 +163,8 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS part, l_quantity AS qty FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity = p_size",
     ),
     "value_eq_double": (
-        "SELECT ?a ?b WHERE { ?x t:c_name ?a ; t:c_acctbal ?k . ?y t:s_name ?b ; t:s_acctbal ?m FILTER(?k - 1000 = ?m - 1000) }",
-        "SELECT c_name AS a, s_name AS b FROM customer JOIN supplier ON c_acctbal - 1000 = s_acctbal - 1000",
+        "SELECT ?a ?b WHERE { ?x t:c_name ?a ; t:c_acctbal ?k . ?y t:c_name ?b ; t:c_acctbal ?m FILTER(?k / 2 = ?m / 2) }",
+        "SELECT x.c_name AS a, y.c_name AS b FROM customer x JOIN customer y ON x.c_acctbal / 2 = y.c_acctbal / 2",
     ),
     "value_eq_only": (
         'SELECT ?s ?n WHERE { ?x t:s_name ?s ; t:s_nationkey ?k . ?y t:n_name ?n ; t:n_nationkey ?m FILTER(?k = ?m) }',
@@ -177,7 +178,7 @@ SPARQL: dict[str, tuple[str, str]] = {
     "arith_add": ("SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s FILTER(?k + ?s > 2000) }", "SELECT p_partkey AS k FROM part WHERE p_partkey + p_size > 2000"),
     "arith_sub": ("SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s FILTER(?k - ?s < 0) }", "SELECT p_partkey AS k FROM part WHERE p_partkey - p_size < 0"),
     "arith_mul": ("SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s ; t:p_retailprice ?r FILTER(?s * ?r > 45000) }", "SELECT p_partkey AS k FROM part WHERE p_size * p_retailprice > 45000"),
-    "arith_div": ("SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s FILTER(?k / ?s = 1.5) }", "SELECT p_partkey AS k FROM part WHERE p_partkey::DECIMAL(18,6) * 2 = p_size::DECIMAL(18,6) * 3"),
+    "arith_div": ("SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s FILTER(?k / ?s > 30.5) }", "SELECT p_partkey AS k FROM part WHERE p_partkey * 2 > p_size * 61"),
     "arith_div_zero": ("SELECT ?k WHERE { ?r t:r_regionkey ?k FILTER(10 / ?k >= 5) }", "SELECT r_regionkey AS k FROM region WHERE r_regionkey <> 0 AND 10.0 / r_regionkey >= 5"),
     "arith_neg": ("SELECT ?c WHERE { ?x t:c_custkey ?c ; t:c_acctbal ?b FILTER(-?b > 900 && +?c >= 0) }", "SELECT c_custkey AS c FROM customer WHERE -c_acctbal > 900"),
     # tests and functions on terms
@@ -205,6 +206,11 @@ SPARQL: dict[str, tuple[str, str]] = {
     "regex_flags_m": ('SELECT ?k WHERE { ?d t:doc_id ?k ; t:text ?x FILTER(REGEX(?x, "^[A-Z][a-z]+", "m")) }', "SELECT doc_id AS k FROM documents WHERE regexp_matches(text, '(?m)^[A-Z][a-z]+')"),
     "regex_flags_x": ('SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_name ?n FILTER(REGEX(?n, "r e d", "x")) }', "SELECT p_partkey AS k FROM part WHERE regexp_matches(p_name, 'red')"),
     "regex_flags_error": ('SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_name ?n FILTER(REGEX(?n, "red", "q")) }', "SELECT p_partkey AS k FROM part WHERE false"),
+    "regex_bad_pattern": ('SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_name ?n ; t:p_size ?s FILTER(REGEX(?n, "(") || REGEX(?n, "[a", "i") || ?s = 7) }', "SELECT p_partkey AS k FROM part WHERE p_size = 7"),
+    "regex_column_pattern": (
+        """SELECT ?a ?b WHERE { ?x t:n_name ?a ; t:n_region ?r . ?y t:r_name ?b . ?z t:o_orderpriority ?p ; t:o_orderkey ?k FILTER(?k < 20 && (REGEX(?p, ?b) || REGEX(?a, "_1$"))) }""",
+        "SELECT n_name AS a, r_name AS b FROM nation, region, orders WHERE o_orderkey < 20 AND (regexp_matches(o_orderpriority, r_name) OR regexp_matches(n_name, '_1$'))",
+    ),
     # solution modifiers
     "distinct": ("SELECT DISTINCT ?seg ?nation WHERE { ?c t:c_mktsegment ?seg ; t:c_nationkey ?nation }", "SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS nation FROM customer"),
     "reduced": ("SELECT REDUCED ?seg WHERE { ?c t:c_mktsegment ?seg }", "SELECT DISTINCT c_mktsegment AS seg FROM customer"),
@@ -217,16 +223,16 @@ SPARQL: dict[str, tuple[str, str]] = {
         "SELECT c_mktsegment AS seg FROM customer GROUP BY seg ORDER BY min(c_acctbal), seg LIMIT 3",
     ),
     "order_asc_desc": (
-        "SELECT ?name ?bal WHERE { ?c t:c_name ?name ; t:c_acctbal ?bal ; t:c_nationkey ?n } ORDER BY ASC(?n) DESC(?bal) ?name LIMIT 100",
-        "SELECT c_name AS name, c_acctbal AS bal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_name LIMIT 100",
+        "SELECT ?name ?bal WHERE { ?c t:c_name ?name ; t:c_acctbal ?bal ; t:c_nationkey ?n } ORDER BY ASC(?n) DESC(?bal) ?name",
+        "SELECT c_name AS name, c_acctbal AS bal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_name",
     ),
     "order_expr": (
-        "SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s } ORDER BY DESC(?s * 2 - ?k) ?k LIMIT 50",
-        "SELECT p_partkey AS k FROM part ORDER BY p_size * 2 - p_partkey DESC, p_partkey LIMIT 50",
+        "SELECT ?k WHERE { ?p t:p_partkey ?k ; t:p_size ?s } ORDER BY DESC(?s * 2 - ?k) ?k",
+        "SELECT p_partkey AS k FROM part ORDER BY p_size * 2 - p_partkey DESC, p_partkey",
     ),
     "order_unbound": (
-        "SELECT ?name ?total WHERE { ?c t:c_name ?name OPTIONAL { ?o t:o_cust ?c ; t:o_totalprice ?total FILTER(?total > 480000) } } ORDER BY ?total ?name LIMIT 80",
-        f"SELECT c_name AS name, o_totalprice AS total FROM {_CUSTOMER_ORDERS} ORDER BY o_totalprice NULLS FIRST, c_name LIMIT 80",
+        "SELECT ?name ?total WHERE { ?c t:c_name ?name OPTIONAL { ?o t:o_cust ?c ; t:o_totalprice ?total FILTER(?total > 480000) } } ORDER BY ?total ?name",
+        f"SELECT c_name AS name, o_totalprice AS total FROM {_CUSTOMER_ORDERS} ORDER BY o_totalprice NULLS FIRST, c_name",
     ),
     "limit_offset": (
         "SELECT ?k WHERE { ?o t:o_orderkey ?k } ORDER BY ?k LIMIT 20 OFFSET 40",
@@ -277,22 +283,26 @@ def export(graph: MappedTables, names: list[str]) -> DataFrame:
     return out
 
 
-_EXPORTED = ["urn:t:region/", "urn:t:nation/", "urn:t:customer/", "urn:t:supplier/"]
+_stores: dict[tuple[str, str], EncodedStore] = {}
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> EncodedStore:
-    """Four tables written as N-Triples text, read, and built into a store."""
-    text, store = shared_path(spark, "statements"), shared_path(spark, "store")
-    ntriples.write(export(relational_graph(spark, sf_dir), _EXPORTED), text)
-    return build(spark, read_statements(spark, text, "ntriples"), store)
+    """All tables written as N-Triples text, read, and built into a store, which a session keeps."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _stores:
+        graph = relational_graph(spark, sf_dir)
+        text, store = shared_path(spark, "statements"), shared_path(spark, "store")
+        ntriples.write(export(graph, [t.prefix for t in graph.tables]), text)
+        _stores[at] = build(spark, read_statements(spark, text, "ntriples"), store)
+    return _stores[at]
 
 
 def load_ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_loaded(spark, sf_dir), PREFIX + "SELECT ?name ?nation ?bal WHERE { ?c t:c_name ?name ; t:c_nation ?n ; t:c_acctbal ?bal . ?n t:n_name ?nation FILTER(?bal > 5000) }", "terms")
+    return run(_loaded(spark, sf_dir), PREFIX + _ACCOUNTS, "terms")
 
 
 def store_optional_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "SELECT ?nation ?name WHERE { ?n t:n_name ?nation OPTIONAL { ?s t:s_nation ?n ; t:s_name ?name ; t:s_acctbal ?b FILTER(?b > 5000) } } ORDER BY DESC(?nation) ?name LIMIT 60"
+    text = "SELECT ?nation ?name WHERE { ?n t:n_name ?nation OPTIONAL { ?s t:s_nation ?n ; t:s_name ?name ; t:s_acctbal ?b FILTER(?b > 5000) } } ORDER BY DESC(?nation) ?name"
     return run(_loaded(spark, sf_dir), PREFIX + text)
 
 
@@ -301,27 +311,78 @@ def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements read as a stream, matched with a star of patterns, counted by segment."""
+    """The statements of all tables read as a stream, matched with a star of patterns, counted by segment."""
     from triplane.streaming.statements import drain, match_star, read_stream
 
-    text = shared_path(spark, "statements")
-    ntriples.write(export(relational_graph(spark, sf_dir), ["urn:t:customer/"]), text)
+    graph, text = relational_graph(spark, sf_dir), shared_path(spark, "statements")
+    ntriples.write(export(graph, [t.prefix for t in graph.tables]), text)
     found = match_star(read_stream(spark, text), {"urn:t:c_mktsegment": "seg"})
     return drain(found.groupBy("seg").count(), "complete").select(F.col("seg"), F.col("count").alias("n"))
 
 
+_ACCOUNTS = "SELECT ?name ?nation ?bal WHERE { ?c t:c_name ?name ; t:c_nation ?n ; t:c_acctbal ?bal . ?n t:n_name ?nation FILTER(?bal > 5000) }"
+_ACCOUNTS_SQL = f"""SELECT '"' || c_name || '"' AS name, '"' || n_name || '"' AS nation, '"' || c_acctbal || '"^^<{XSD}double>' AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000"""
+
+
+def load_turtle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of two tables written as Turtle files, read and built into a store."""
+    text, store = shared_path(spark, "turtle"), shared_path(spark, "store")
+    ntriples.write(export(relational_graph(spark, sf_dir), ["urn:t:nation/", "urn:t:customer/"]), text)  # N-Triples are Turtle
+    return run(build(spark, read_statements(spark, text, "turtle"), store), PREFIX + _ACCOUNTS, "terms")
+
+
+def load_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document in RDF/XML for each nation, with its customers, read and built into a store."""
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    literal = lambda c, kind: F.concat(F.lit(f'<t:{c} rdf:datatype="{XSD}{kind}">'), F.col(c).cast("string"), F.lit(f"</t:{c}>"))
+    text = lambda c: F.concat(F.lit(f"<t:{c}>"), F.col(c), F.lit(f"</t:{c}>"))
+    one = F.concat(F.lit('<rdf:Description rdf:about="customer/'), F.col("c_custkey"), F.lit('">'), text("c_name"), literal("c_acctbal", "double"), F.lit('<t:c_nation rdf:resource="nation/'), F.col("c_nationkey"), F.lit('"/></rdf:Description>'))
+    held = customer.select("c_nationkey", one.alias("x")).groupBy("c_nationkey").agg(F.concat_ws("", F.sort_array(F.collect_list("x"))).alias("body"))
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:t="urn:t:" xml:base="urn:t:">'
+    named = F.concat(F.lit(f'{head}<rdf:Description rdf:about="nation/'), F.col("n_nationkey"), F.lit('">'), text("n_name"), F.lit("</rdf:Description>"), F.coalesce("body", F.lit("")), F.lit("</rdf:RDF>"))
+    files = nation.join(held, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.concat(F.lit("urn:t:nation-"), "n_nationkey").alias("path"), F.encode(named, "UTF-8").alias("content"))
+    return run(build(spark, documents(files, "rdfxml"), shared_path(spark, "store")), PREFIX + _ACCOUNTS, "terms")
+
+
+def text_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's result as lines of text."""
+    return text_lines(relational_graph(spark, sf_dir), PREFIX + "SELECT ?c ?name ?total WHERE { ?c t:c_name ?name OPTIONAL { ?o t:o_cust ?c ; t:o_totalprice ?total FILTER(?total > 480000) } }")
+
+
+def xml_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query's result as elements of the XML results format."""
+    return xml_results(relational_graph(spark, sf_dir), PREFIX + "SELECT ?s ?name ?n ?k WHERE { ?s t:s_name ?name ; t:s_nation ?n ; t:s_suppkey ?k OPTIONAL { ?s t:absent ?x } }")
+
+
+def blank_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a key, in files of several folders, met through two scans: each is one blank node in both."""
+    path = shared_path(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").write.partitionBy("l_returnflag", "l_linestatus").parquet(path)
+    graph = MappedTables(spark, [Table(spark.read.parquet(path), "line", None, "urn:t:")])
+    return run(graph, PREFIX + "SELECT ?order ?n ?tax WHERE { ?l t:l_orderkey ?order ; t:l_linenumber ?n . ?l ?p ?tax FILTER(?p = t:l_tax) }")
+
+
 _EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "format_terms": (
         format_terms,
         f"SELECT '<urn:t:customer/' || c_custkey || '>' AS c, '\"' || c_name || '\"' AS name, '\"' || c_custkey || '\"^^<{XSD}integer>' AS k FROM customer",
     ),
-    "load_ntriples_roundtrip": (
-        load_ntriples_roundtrip,
-        f"""SELECT '"' || c_name || '"' AS name, '"' || n_name || '"' AS nation, '"' || c_acctbal || '"^^<{XSD}double>' AS bal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000""",
+    "load_ntriples_roundtrip": (load_ntriples_roundtrip, _ACCOUNTS_SQL),
+    "load_turtle_roundtrip": (load_turtle_roundtrip, _ACCOUNTS_SQL),
+    "load_rdfxml": (load_rdfxml, _ACCOUNTS_SQL),
+    "text_result": (
+        text_result,
+        f"""SELECT '<urn:t:customer/' || c_custkey || '> "' || c_name || '" ' || coalesce('"' || o_totalprice || '"^^<{XSD}double>', '') AS value FROM {_CUSTOMER_ORDERS}""",
+    ),
+    "xml_result": (
+        xml_result,
+        f"""SELECT '<result><binding name="s"><uri>urn:t:supplier/' || s_suppkey || '</uri></binding><binding name="name"><literal>' || s_name || '</literal></binding><binding name="n"><uri>urn:t:nation/' || s_nationkey
+           || '</uri></binding><binding name="k"><literal datatype="{XSD}integer">' || s_suppkey || '</literal></binding></result>' AS value FROM supplier""",
     ),
+    "blank_identity": (blank_identity, "SELECT l_orderkey AS \"order\", l_linenumber AS n, l_tax::VARCHAR AS tax FROM lineitem WHERE l_tax IS NOT NULL"),
     "store_optional_order": (
         store_optional_order,
-        """SELECT n_name AS nation, s_name AS name FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON s_nationkey = n_nationkey ORDER BY n_name DESC, s_name NULLS FIRST LIMIT 60""",
+        """SELECT n_name AS nation, s_name AS name FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON s_nationkey = n_nationkey ORDER BY n_name DESC, s_name NULLS FIRST""",
     ),
     "stream_statements": (stream_statements, "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY 1"),
 }
@@ -331,13 +392,11 @@ def _counts_sql(tables: dict[str, list[str]]) -> str:
     return " UNION ALL ".join(f"SELECT 'urn:t:{name}' AS predicate, count({column}) AS triples FROM {t}" for t, columns in tables.items() for name, _, column in (c.rpartition("=") if "=" in c else (c, "", c) for c in columns))
 
 
-_STORED = {
+_ALL = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey", "n_region=n_regionkey"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment", "c_nation=c_nationkey"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "s_nation=s_nationkey"],
-}
-_ALL = _STORED | {
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "o_cust=o_custkey"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
@@ -345,7 +404,7 @@ _ALL = _STORED | {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_order=l_orderkey", "l_part=l_partkey", "l_supp=l_suppkey"],
 }
 _EXTRA["stats_by_pattern"] = stats_by_pattern, _counts_sql(_ALL)
-_EXTRA["store_counts"] = store_counts, _counts_sql(_STORED)
+_EXTRA["store_counts"] = store_counts, _counts_sql(_ALL)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: partial(_query, text) for k, (text, _) in SPARQL.items()} | {k: f for k, (f, _) in _EXTRA.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for k, (_, sql) in (SPARQL | _EXTRA).items()}

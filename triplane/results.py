@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triplane.functions.terms import BLANK, IRI, LANG, SIMPLE, format_term, to_dyn
+from triplane.functions.terms import BLANK, IRI, LANG, SIMPLE, Ex, format_term, to_dyn
 from triplane.operators.solutions import Solutions
 from triplane.plans.ast import Query
 from triplane.plans.parser import parse
@@ -32,19 +32,27 @@ def write_text(source: TripleSource, text: str, path: str, mode: str = "errorife
     text_lines(source, text).write.mode(mode).text(path)
 
 
-def _binding(name: str, term) -> str:
-    lex = escape(term["lex"])
-    if term["cat"] == BLANK:
-        body = f"<bnode>{lex}</bnode>"
-    elif term["cat"] == IRI:
-        body = f"<uri>{lex}</uri>"
-    elif term["cat"] == SIMPLE:
-        body = f"<literal>{lex}</literal>"
-    elif term["cat"] == LANG:
-        body = f"<literal xml:lang={quoteattr(term['tag'])}>{lex}</literal>"
-    else:
-        body = f"<literal datatype={quoteattr(term['tag'])}>{lex}</literal>"
-    return f"<binding name={quoteattr(name)}>{body}</binding>"
+def _xml(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _binding(name: str, x: Ex) -> Column:
+    """The binding of a variable, nothing where it is unbound."""
+    term = to_dyn(x)
+    text, tag, cat = _xml(term["lex"]), F.replace(_xml(term["tag"]), F.lit('"'), F.lit("&quot;")), term["cat"]
+    literal = F.when(cat == SIMPLE, F.concat(F.lit("<literal>"), text)).when(cat == LANG, F.concat(F.lit('<literal xml:lang="'), tag, F.lit('">'), text)).otherwise(F.concat(F.lit('<literal datatype="'), tag, F.lit('">'), text))
+    body = F.when(cat == BLANK, F.concat(F.lit("<bnode>"), text, F.lit("</bnode>"))).when(cat == IRI, F.concat(F.lit("<uri>"), text, F.lit("</uri>"))).otherwise(F.concat(literal, F.lit("</literal>")))
+    return F.coalesce(F.when(x.col.isNotNull(), F.concat(F.lit(f"<binding name={quoteattr(name)}>"), body, F.lit("</binding>"))), F.lit(""))
+
+
+def xml_results(source: TripleSource, text: str) -> DataFrame:
+    """One column ``value``: the ``result`` element of each solution of a SELECT query, in the query's order."""
+    query = parse(text)
+    return _results(decoded(source, query, plan(source, query)))
+
+
+def _results(s: Solutions) -> DataFrame:
+    return s.df.select(F.concat(F.lit("<result>"), *[_binding(v, s.term(v)) for v in s.kinds], F.lit("</result>")).alias("value"))
 
 
 def xml_chunks(source: TripleSource, text: str) -> Iterator[str]:
@@ -66,10 +74,9 @@ def _rows(query: Query, s: Solutions) -> Iterator[str]:
     names = list(s.kinds)
     yield _OPEN + "<head>" + "".join(f"<variable name={quoteattr(v)}/>" for v in names) + "</head>\n"
     yield f'<results distinct="{str(query.distinct).lower()}" ordered="{str(bool(query.order)).lower()}">\n'
-    table = s.df.select(*[F.when(s.term(v).col.isNotNull(), F.struct(to_dyn(s.term(v))["cat"].alias("cat"), to_dyn(s.term(v))["lex"].alias("lex"), to_dyn(s.term(v))["tag"].alias("tag"))).alias(f"c{i}") for i, v in enumerate(names)] or [F.lit(1).alias("one")])
-    for row in table.toLocalIterator():
-        yield "<result>" + "".join(_binding(v, row[i]) for i, v in enumerate(names) if row[i] is not None) + "</result>\n"
+    for row in _results(s).toLocalIterator():
+        yield row["value"] + "\n"
     yield "</results>\n</sparql>\n"
 
 
-__all__ = ["run", "text_lines", "write_text", "xml_chunks"]
+__all__ = ["run", "text_lines", "write_text", "xml_chunks", "xml_results"]

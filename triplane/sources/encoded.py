@@ -18,6 +18,8 @@ from triplane.operators.solutions import Solutions, column_name
 from triplane.plans.ast import Const, QueryError, Triple, Var
 
 FORMAT, VERSION = "triplane-store", 1
+#: Predicates whose ids are broadcast while a store is built, at most.
+BROADCAST_PREDICATES = 100_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -52,7 +54,11 @@ def build(spark: SparkSession, statements: DataFrame, path: str, force: bool = F
     def ids(name: str, *on: tuple[str, str]) -> DataFrame:
         return terms.select(F.col("id").alias(name), *[F.col(a).alias(b) for a, b in on])
 
-    triples = rows.join(ids("s", ("cat", "s_cat"), ("lex", "s_lex")).where("s_cat <= 1"), ["s_cat", "s_lex"]).join(ids("p", ("lex", "p_lex"), ("cat", "p_cat")).where(F.col("p_cat") == IRI), "p_lex")
+    # predicates are few and hot: a shuffle by them would be skewed
+    used = rows.select("p_lex").distinct()
+    p_ids = ids("p", ("lex", "p_lex"), ("cat", "p_cat")).where(F.col("p_cat") == IRI).join(used, "p_lex", "left_semi").select("p", "p_lex")
+    p_ids = F.broadcast(p_ids) if used.count() <= BROADCAST_PREDICATES else p_ids
+    triples = rows.join(p_ids, "p_lex").join(ids("s", ("cat", "s_cat"), ("lex", "s_lex")).where("s_cat <= 1"), ["s_cat", "s_lex"])
     triples = triples.join(ids("o", ("cat", "o_cat"), ("lex", "o_lex"), ("tag", "o_tag")), ["o_cat", "o_lex", "o_tag"]).select("s", "p", "o")
     # statements are distinct and terms unique, so these are too; written once, for both layouts sample and read them
     triples.write.parquet(f"{path}/_ids")

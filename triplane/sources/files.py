@@ -28,14 +28,19 @@ def read_statements(spark: SparkSession, path: str, syntax: str | None = None) -
         raise Unsupported(f"syntax {syntax}")
     if syntax == "ntriples":
         return ntriples.read(spark, path)
+    return documents(spark.read.format("binaryFile").load(path), syntax)
+
+
+def documents(files: DataFrame, syntax: str) -> DataFrame:
+    """The statements of documents (path, content): Turtle or RDF/XML in UTF-8, each parsed whole. Blank labels of one document
+    stay apart from those of another."""
     parse = _PARSERS[syntax]
 
     def parsed(batches):
         for df in batches:
             for name, content in zip(df["path"], df["content"], strict=True):
-                # blank labels of one file stay apart from those of another
                 scope = blake2b(name.encode(), digest_size=6).hexdigest()
                 rows = [(s.cat, s.lex, p.lex, o.cat, o.lex, o.tag) for s, p, o in parse(bytes(content).decode(), scope, name)]
                 yield pd.DataFrame(rows, columns=["s_cat", "s_lex", "p_lex", "o_cat", "o_lex", "o_tag"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, ntriples.STATEMENT)
+    return files.select("path", "content").mapInPandas(parsed, ntriples.STATEMENT)

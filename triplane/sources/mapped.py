@@ -19,7 +19,7 @@ from triplane.functions.expressions import same_term
 from triplane.functions.terms import BLANK, DEC_KIND, DYNAMIC, FULL_IRI, IRI, LANG, SIMPLE, SIMPLE_KIND, XSD, Ex, Kind, Term, canonical, constant, kind_of, to_dyn
 from triplane.operators.joins import union
 from triplane.operators.solutions import Solutions, column_name, disjoint, empty
-from triplane.plans.ast import Const, Slot, Triple, Var
+from triplane.plans.ast import Const, QueryError, Slot, Triple, Var
 
 
 @dataclass(frozen=True)
@@ -152,15 +152,14 @@ class MappedTables:
 
     @staticmethod
     def _keyed(table: Table) -> tuple[DataFrame, Column]:
-        """The table and its subject column. A row without a key is named by its file and place there, so that every scan
-        names it alike; tables that aren't files get a number, alike only within one scan."""
+        """The table and its subject column. A row without a key is named by its file's path and place there, so that every
+        scan names it alike; rows of tables that aren't files have no such name and are an error."""
         if table.key:
             return table.df, F.col(f"`{table.key}`")
         try:
-            place = table.df.withColumn("row_", F.concat_ws("-", "_metadata.file_name", "_metadata.row_index"))
+            return table.df.withColumn("row_", F.concat_ws("-", "_metadata.file_path", "_metadata.row_index")), F.col("row_")
         except AnalysisException:
-            place = table.df.withColumn("row_", F.monotonically_increasing_id())
-        return place, F.col("row_")
+            raise QueryError(f"the rows of {table.prefix} have no key, and no place in files that could name them") from None
 
     def _unpivot(self, t: Triple, table: Table, found: list[tuple[str, Table, Kind, Column]]) -> Solutions:
         """Any predicate with any object: one scan of the table, a row for each cell."""

@@ -10,10 +10,13 @@ from triplane.functions.terms import BLANK, IRI, LANG, OTHER, SIMPLE, category_c
 #: Columns of a statement: category, lexical form and tag of subject and object, and the predicate's IRI.
 STATEMENT = "s_cat int, s_lex string, p_lex string, o_cat int, o_lex string, o_tag string"
 _IRI, _BLANK = r"<([^>]*)>", r"_:([^\s<\"]+?)"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?'
+_LITERAL = r'"([^"]*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^>]*)>)?'
 #: One match finds all parts: subject's first character, IRI, blank label; predicate; object's first character, IRI, blank
 #: label, text, language, datatype.
 LINE = rf"^\s*(?=(.))(?:{_IRI}|{_BLANK})\s*<([^>]*)>\s*(?=(.))(?:{_IRI}|{_BLANK}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+#: Escaped backslashes and quotes stand aside while a line is matched, so that a text is one run of a class of characters: a
+#: pattern of alternatives would recurse once a character. Characters that are these marks themselves are escaped first.
+_ASIDE = (("\\\\", "\x02"), ('\\"', "\x03"))
 #: The parts in a row, the text last, for it alone may hold the mark between them.
 _MARK = "\x01"
 _PARTS = "$1 $2 $3 $4 $5 $6 $7 $9 $10 $8".replace(" ", _MARK)
@@ -38,11 +41,19 @@ def statements(lines: DataFrame, scope: str = "") -> DataFrame:
     """Statements of a DataFrame with a column ``value`` of lines. Empty lines and comments give none; a malformed line is an
     error. scope: put before blank labels, so that files don't share them."""
     value = F.col("value")
-    real = lines.where(~value.rlike(r"^\s*(#.*)?$"))
+    whole = value
+    for _, mark in _ASIDE:
+        value = F.replace(value, F.lit(mark), F.lit(f"\\u{ord(mark):04x}"))
+    for escape, mark in _ASIDE:
+        value = F.replace(value, F.lit(escape), F.lit(mark))
+    value = F.when(whole.rlike(r"[\\\x02\x03]"), value).otherwise(whole)
+    real = lines.where(~whole.rlike(r"^\s*(#.*)?$"))
     parts = F.split(F.regexp_replace(value, LINE, _PARTS), _MARK, 10)
     # a column of its own, so that the expression runs once a line
-    cut = real.select(F.when(F.size(parts) == 10, parts).otherwise(F.array(F.raise_error(F.concat(F.lit("not an N-Triples line: "), value)).cast("string"))).alias("g"))
+    cut = real.select(F.when(F.size(parts) == 10, parts).otherwise(F.array(F.raise_error(F.concat(F.lit("not an N-Triples line: "), whole)).cast("string"))).alias("g"))
     s_first, s_iri, s_blank, p, o_first, o_iri, o_blank, lang, kind, text = (F.col("g")[i] for i in range(10))
+    for escape, mark in reversed(_ASIDE):
+        text = F.replace(text, F.lit(mark), F.lit(escape))
     is_iri = s_first == "<"
     o_cat = F.when(o_first == "<", IRI).when(o_first == "_", BLANK).otherwise(category_column(F.when(kind != "", kind), lang))
     s_lex = F.when(is_iri, unescape(s_iri)).otherwise(F.concat(F.lit(scope), s_blank))

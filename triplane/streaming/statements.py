@@ -31,7 +31,10 @@ def match_star(statements: DataFrame, predicates: dict[str, str]) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what has arrived and gives its last result as a table."""
+    """Runs a stream over what has arrived and gives its last result as a table. mode: append, whose batches add up, or complete,
+    whose last batch is the result. Each batch is written under its number, so one that is replayed replaces itself."""
+    if mode not in ("append", "complete"):
+        raise ValueError(f"mode {mode}: a table can't hold rows that later ones supersede")
     spark = stream.sparkSession
     out = shared_path(spark, "stream")
     where = checkpoint or shared_path(spark, "progress")
@@ -39,7 +42,9 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
 
     def save(batch: DataFrame, n: int) -> None:
         last[0] = n
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out) if last[0] >= 0 else spark.createDataFrame([], stream.schema)
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out if mode == "append" else f"{out}/batch={last[0]}").select(*[F.col(f"`{c}`") for c in stream.columns])
