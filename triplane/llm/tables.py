@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[str, object] = {}
-_LIMITED: set[str] = set()
+_LIMITED: set[tuple[str, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,10 +98,12 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Arrow batches bounded in rows and bytes, for documents may be long. Settings the session chose itself stay."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in _LIMITED and not spark.sparkContext.getConf().contains(name):
-        _LIMITED.add(name)
-        spark.conf.set(name, size)
+    """Arrow batches bounded in rows and bytes, for documents may be long. It changes the session's settings, but only those that
+    still are Spark's own."""
+    for name, own, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", None, size)):
+        at = spark.sparkContext.applicationId, name
+        if at in _LIMITED or spark.sparkContext.getConf().contains(name):
+            continue
+        _LIMITED.add(at)
+        if own is None or spark.conf.get(name) in own:
+            spark.conf.set(name, value)
