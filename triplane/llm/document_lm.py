@@ -5,7 +5,7 @@ times shards. Here shards are of n-grams instead, by hash, so a query's n-gram i
 its sorted keys, and work grows as the corpus does. What is known of a query's start is the same in the end: for every length,
 how many places in other documents match it.
 
-Documents form blocks of about ``block_words`` words, coded by a vocabulary of the block. A round asks, for each open start
+Documents of one text count as one with a weight, so copies cost no more than one of them. Documents form blocks of about ``block_words`` words, coded by a vocabulary of the block. A round asks, for each open start
 of a block, how often the n-gram of one length occurs: a block sends its distinct n-grams with their counts to the shards,
 so a frequent one is one row a block, whatever its share; shards add the counts and answer in the order of what was sent.
 Lengths are 1 and 2 at once, 3, 4, 8, 16 ... until no query shares the n-gram with another document, then halfway between two
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplane.llm.ngram_lm import SCORES, STRENGTH, score_columns, summary
-from triplane.llm.tables import Kept, arrow_batches, sweep
+from triplane.llm.tables import Kept, arrow_batches, materialize, release, sweep
 from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 
 BLOCK_WORDS, SHARD_KEYS = 500_000, 2_000_000
@@ -35,7 +35,7 @@ BLOCK_WORDS, SHARD_KEYS = 500_000, 2_000_000
 TASK_OPEN = 500_000
 #: Lengths are asked for one by one up to this, doubled beyond.
 EACH = 4
-_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "at": np.int32, "lo": np.int32, "hi": np.int32, "c_lo": np.int64, "c_hi": np.int64}
+_ARRAYS = {"vocabulary": np.uint64, "codes": np.int32, "bounds": np.int64, "docs": np.int32, "offsets": np.int64, "asked": np.bool_, "weights": np.int64, "at": np.int32, "lo": np.int32, "hi": np.int32, "c_lo": np.int64, "c_hi": np.int64}
 _FOUND = {"f_doc": np.int32, "f_start": np.int32, "f_length": np.int32, "f_places": np.int64}
 _STATE = "block long, kind int, open long, " + ", ".join(f"{name} binary" for name in [*_ARRAYS, *_FOUND])
 
@@ -65,7 +65,8 @@ def unpack(data: bytes | None, kind: type) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Stretches of documents (``docs``: numbers in the whole block; ``offsets``: words before; ``asked``: of a query) and open
+    """Stretches of documents (``docs``: numbers in the whole block; ``offsets``: words before; ``asked``: of a query; ``weights``:
+    how many documents have this text) and open
     intervals of lengths: the n-gram from word ``at`` has c_lo places at length lo and c_hi at length hi, or no length is an end
     yet where hi is 0. A fresh block has no intervals: all is open."""
 
@@ -75,6 +76,7 @@ class Block:
     docs: np.ndarray
     offsets: np.ndarray
     asked: np.ndarray
+    weights: np.ndarray
     at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
@@ -128,7 +130,7 @@ class Block:
         part = np.searchsorted(self.bounds, begins, side="right") - 1
         place = np.cumsum(covered) - 1
         used, codes = np.unique(self.codes[covered], return_inverse=True)
-        return Block(self.vocabulary[used], codes, np.append(place[begins], len(codes)), self.docs[part], self.offsets[part] + begins - self.bounds[part], self.asked[part], place[at], lo, hi, c_lo, c_hi)
+        return Block(self.vocabulary[used], codes, np.append(place[begins], len(codes)), self.docs[part], self.offsets[part] + begins - self.bounds[part], self.asked[part], self.weights[part], place[at], lo, hi, c_lo, c_hi)
 
     def row(self) -> dict[str, bytes]:
         return {f.name: pack(getattr(self, f.name)) for f in fields(self)}
@@ -157,8 +159,8 @@ def _sent(block: int, b: Block, shards: int) -> pa.Table:
         query, last, many = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
         query[which[b.asked[part]]] = True
         last[which] = doc
-        many[which[doc != last[which]]] = True
-        counts, flags = np.bincount(which, minlength=len(keys)), query.astype(np.uint8) | many.astype(np.uint8) << 1
+        many[which[(doc != last[which]) | (b.weights[part] > 1)]] = True
+        counts, flags = np.bincount(which, weights=b.weights[part], minlength=len(keys)).astype(np.int64), query.astype(np.uint8) | many.astype(np.uint8) << 1
         cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
         for k in np.flatnonzero(np.diff(cut)):
             p = slice(cut[k], cut[k + 1])
@@ -219,52 +221,64 @@ def _next(state: pa.Table, answers: pa.Table) -> pa.Table:
     return _table({x.split()[0]: [r[x.split()[0]] for r in rows] for x in _STATE.split(", ")}, _STATE)
 
 
-_FRESH = ("vocabulary", "codes", "bounds", "docs", "offsets", "asked")
-_INFO = "block long, kind int, open long, {ids}, words long, sizes binary, queries binary, " + ", ".join(f"{c} binary" for c in _FRESH)
+_FRESH = ("vocabulary", "codes", "bounds", "docs", "offsets")
+_WORDS = "block long, kind int, words long, documents array<struct<doc:int,n:long,query:boolean,key:binary,item_id:{id}>>, " + ", ".join(f"{c} binary" for c in _FRESH)
 
 
 def _blocks(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
-    """Two rows for each block, from rows (item_id, text, query): kind 0 has its words, kind 1 the ids of its queries, and the
-    sizes of its documents with whether they are queries."""
-    schema = _INFO.format(ids=f"ids array<{id_type}>")
+    """Two rows for each block, from rows (item_id, text, query, key): kind 0 has its words, kind 1 its documents."""
 
     def built(batches):
-        ids, queries, sizes, words, held, made = [], [], [], [], 0, TaskContext.get().partitionId() << 32
+        columns, sizes, words, held, made = [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def out():
             distinct, codes, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
             order = np.argsort(-times, kind="stable")  # frequent words get small numbers
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
-            n, query, own = np.concatenate(sizes), np.concatenate(queries), pa.concat_arrays(ids)
+            n = np.concatenate(sizes)
             full = np.flatnonzero(n)
-            fresh = {"vocabulary": distinct[order], "codes": rank[codes], "bounds": np.concatenate([[0], np.cumsum(n[full])]), "docs": full, "offsets": np.zeros(len(full), np.int64), "asked": query[full]}
-            lists = pa.ListArray.from_arrays(pa.array([0, 0, len(own)], pa.int32()), own)
-            columns = [pa.array([made] * 2), pa.array([0, 1], pa.int32()), pa.array([len(codes), 0]), lists, pa.array([0, len(codes)]), *(pa.array([None, pack(x)], pa.binary()) for x in (n, query)), *(pa.array([pack(fresh[c]), None], pa.binary()) for c in _FRESH)]
-            return pa.RecordBatch.from_arrays(columns, ["block", "kind", "open", "ids", "words", "sizes", "queries", *_FRESH])
+            fresh = {"vocabulary": distinct[order], "codes": rank[codes], "bounds": np.concatenate([[0], np.cumsum(n[full])]), "docs": full, "offsets": np.zeros(len(full), np.int64)}
+            ids, queries, keys = (pa.concat_arrays(x) for x in zip(*columns, strict=True))
+            each = pa.StructArray.from_arrays([pa.array(np.arange(len(n)), pa.int32()), pa.array(n, pa.int64()), queries, keys, ids], ["doc", "n", "query", "key", "item_id"])
+            parts = [pa.array([made] * 2), pa.array([0, 1], pa.int32()), pa.array([len(codes)] * 2), pa.ListArray.from_arrays(pa.array([0, 0, len(n)], pa.int32()), each), *(pa.array([pack(fresh[c]), None], pa.binary()) for c in _FRESH)]
+            return pa.RecordBatch.from_arrays(parts, ["block", "kind", "words", "documents", *_FRESH])
 
         for batch in batches:
             w = hash_words(batch.column("text").to_pylist())
-            query, n = np.array(batch.column("query").to_pylist(), bool), np.diff(w.bounds)
-            keep = query | (n > 0)
-            ids.append(batch.column("item_id").filter(pa.array(query)))
-            queries.append(query[keep])
-            sizes.append(n[keep])
+            n = np.diff(w.bounds)
+            keep = pa.array((n > 0) | np.array(batch.column("query").to_pylist(), bool))
+            columns.append([batch.column(c).filter(keep) for c in ("item_id", "query", "key")])
+            sizes.append(n[keep.to_numpy(zero_copy_only=False)])
             words.append(w.hashes)
             held += len(w.hashes)
             if held >= block_words:
                 yield out()
-                ids, queries, sizes, words, held, made = [], [], [], [], 0, made + 1
-        if ids:
+                columns, sizes, words, held, made = [], [], [], 0, made + 1
+        if sizes:
             yield out()
 
-    return rows.mapInArrow(built, schema)
+    return rows.mapInArrow(built, _WORDS.format(id=id_type))
 
 
-def _rounds(spark: SparkSession, blocks: Kept, shard_keys: int) -> list[Kept]:
-    """The tables of all rounds; rows of kind 1 are what queries found."""
-    state = blocks.read(0).select("block", "open", *[F.col(c) if c in _FRESH else F.lit(None).cast("binary").alias(c) for c in _ARRAYS])
-    tables = [blocks]
+def _distinct(words: pa.Table, chosen: pa.Table) -> pa.Table:
+    """A block's first state: its words, without documents that another stands for."""
+    if not chosen.num_rows:
+        return _table({x.split()[0]: [] for x in _STATE.split(", ")}, _STATE).drop_columns(["kind", *_FOUND])
+    fresh = {name: unpack(words.column(name)[0].as_py(), _ARRAYS[name]) for name in _FRESH}
+    order = np.argsort(chosen.column("doc").to_numpy())
+    doc, weight, asked = (chosen.column(c).to_numpy()[order] for c in ("doc", "weight", "asked"))
+    stays, n = np.isin(fresh["docs"], doc), np.diff(fresh["bounds"])
+    used, codes = np.unique(fresh["codes"][np.repeat(stays, n)], return_inverse=True)
+    none = np.zeros(0, np.int64)
+    b = Block(fresh["vocabulary"][used], codes, np.concatenate([[0], np.cumsum(n[stays])]), fresh["docs"][stays], fresh["offsets"][stays], asked, weight, none, none, none, none, none)
+    row = b.row() | {"block": words.column("block")[0].as_py(), "open": len(codes), "kind": 0} | dict.fromkeys(_FOUND)
+    return _table({k: [v] for k, v in row.items()}, _STATE).drop_columns(["kind", *_FOUND])
+
+
+def _rounds(spark: SparkSession, state: DataFrame, shard_keys: int) -> list[Kept]:
+    """The tables of all rounds; rows of kind 1 are what queries found. state: a written table, released when it was read."""
+    tables: list[Kept] = []
     while open_ := state.agg(F.sum("open")).first()[0]:
         shards = -(-open_ // shard_keys)
 
@@ -277,11 +291,14 @@ def _rounds(spark: SparkSession, blocks: Kept, shard_keys: int) -> list[Kept]:
         answers = state.mapInArrow(sent, _SENT).repartition(tasks, "shard").groupBy("shard").applyInArrow(_counted, _ANSWER)
         after = state.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_next, _STATE)
         tables.append(Kept(after, "kind"))
-        tables[-2].drop(0)
+        if len(tables) > 1:
+            tables[-2].drop(0)
+        else:
+            release(state)
         del answers, after
         state = tables[-1].read(0).select("block", "open", *_ARRAYS)
         sweep(spark)
-    return tables[1:]
+    return tables
 
 
 def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH, block_words: int = BLOCK_WORDS, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -295,29 +312,37 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
     spark = docs.sparkSession
     arrow_batches(spark)
     query = F.coalesce(asked, F.lit(False)) if asked is not None else F.lit(True)
-    rows = docs.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"), query.alias("query"))
+    rows = docs.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"), query.alias("query"), F.unhex(F.md5(text_col)).alias("key"))
     id_type = rows.schema["item_id"].dataType.simpleString()
     blocks = Kept(_blocks(rows, block_words, id_type), "kind")
     every = blocks.read(1)
     size = every.agg(F.sum("words")).first()[0] or 0
-    found = [t.read(1) for t in _rounds(spark, blocks, shard_keys)]
-    found_schema = "block long, " + ", ".join(f"{c} binary" for c in _FOUND)
-    parts = spark.createDataFrame([], found_schema)
+    single = every.select("block", F.inline("documents"))
+    alike = single.where("n > 0").groupBy("key").agg(F.min(F.struct("block", "doc")).alias("first"), F.count(F.lit(1)).alias("weight"), F.max("query").alias("asked"))
+    alike = materialize(alike.select("key", F.col("first.block").alias("in_block"), F.col("first.doc").alias("in_doc"), "weight", "asked"))
+    chosen = alike.select(F.col("in_block").alias("block"), F.col("in_doc").alias("doc"), "weight", "asked")
+    fresh = blocks.read(0).select("block", *_FRESH).groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(_distinct, _STATE.replace("kind int, ", "").partition(", f_doc")[0])
+    state = materialize(fresh)
+    blocks.drop(0)
+    del fresh
+    sweep(spark)
+    found = [t.read(1) for t in _rounds(spark, state, shard_keys)]
+    parts = spark.createDataFrame([], "block long, " + ", ".join(f"{c} binary" for c in _FOUND))
     for f in found:
         parts = parts.union(f.select("block", *_FOUND))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"item_id": left.column("ids").combine_chunks().flatten()} | score_columns([]))
-        n, query = unpack(left.column("sizes")[0].as_py(), np.int64), unpack(left.column("queries")[0].as_py(), np.bool_)
         doc, start, length, places = (np.concatenate([unpack(x, kind) for x in right.column(c).to_pylist()] or [np.zeros(0, kind)]).astype(np.int64) for c, kind in _FOUND.items())
         order = np.lexsort((length, start, doc))
         doc, start, length, places = doc[order], start[order], length[order], places[order]
-        out = []
-        for d in np.flatnonzero(query):
-            a, b = np.searchsorted(doc, [d, d + 1])
-            out.append(summary(start[a:b], length[a:b], places[a:b], int(n[d]), size - int(n[d]), strength))
-        return pa.table({"item_id": left.column("ids").combine_chunks().flatten()} | score_columns(out))
-
-    asked_blocks = every.select("block", "ids", "sizes", "queries").where(F.size("ids") > 0).groupBy("block")
-    return asked_blocks.cogroup(parts.groupBy("block")).applyInArrow(score, f"item_id {id_type}, {SCORES}")
+        scores: dict[int, tuple] = {}  # copies have those of the one that stands for them
+        for d, n in zip(left.column("doc").to_pylist(), left.column("n").to_pylist(), strict=True):
+            if d not in scores:
+                a, b = np.searchsorted(doc, [d, d + 1])
+                scores[d] = summary(start[a:b], length[a:b], places[a:b], n, size - n, strength)
+        return pa.table({"item_id": left.column("item_id")} | score_columns([scores[d] for d in left.column("doc").to_pylist()]))
+
+    asked_for = single.where("query").join(alike.select("key", "in_block", "in_doc"), "key", "left")
+    # texts without words stand for themselves
+    asked_for = asked_for.select(F.when(F.col("n") > 0, F.col("in_block")).otherwise(F.col("block")).alias("block"), F.when(F.col("n") > 0, F.col("in_doc")).otherwise(F.col("doc")).alias("doc"), "n", "item_id")
+    return asked_for.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(score, f"item_id {id_type}, {SCORES}")
