@@ -62,3 +62,23 @@ def test_rows_that_repeat_or_lack_a_key(spark):
     got = sorted(map(tuple, format_reply_trees(df, best=5).select("branch", "leaf", "n_messages", "conversation").collect()))
     assert got == [(1, 3, 3, "<|user|>\nq\n<|assistant|>\na\n<|unknown|>\n\n"), (2, 4, 2, "<|user|>\nq\n<|user|>\nz\n")]
     assert len(format_reply_trees(df, score=F.lit(None)).collect()) == 2
+
+
+def test_parents_of_a_conversation_cut_into_ranges(spark):
+    rng = random.Random(6)
+    rows = [(9, t, rng.choice(["user", "assistant"]), f"m{t}") for t in range(3000)] + [(c, t, rng.choice(["user", "assistant"]), "x") for c in range(20) for t in range(rng.randint(1, 9)) if c != 9]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    wanted = {}
+    for c, t, role, _ in sorted(rows):
+        nodes = wanted.setdefault(c, [])
+        run = nodes[-1][1] if nodes and nodes[-1][2] == role else len(nodes) + 1
+        nodes.append((len(nodes) + 1, run, role))
+    for partitions in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted((r["tree"], r["node"], r["parent"], r["role"]) for r in reply_parents(df).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert got == sorted((c, n, run - 1 or None, role) for c, nodes in wanted.items() for n, run, role in nodes)

@@ -23,11 +23,23 @@ def reply_parents(conversations: DataFrame) -> DataFrame:
     count once; messages of equal turn go by role, then text. node numbers the messages of a conversation from 1.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null").distinct()
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = rows.withColumn("node", F.row_number().over(w).cast("long"))
-    starts = F.when(F.coalesce(F.lag("role").over(w) != F.col("role"), F.lit(True)), F.col("node"))
-    run = F.max(starts).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn("run", run).select(F.col("conv_id").alias("tree"), "node", F.when(F.col("run") > 1, F.col("run") - 1).alias("parent"), "role", "text")
+    # a conversation may hold a large share of all rows: it is cut into the ranges of one global order, and what a range takes
+    # over from those before it comes from a row for each range
+    order = ("conv_id", "turn", "role", "text")
+    ranged = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    slim = ranged.select("conv_id", "at", "role", F.shiftright("at", 33).alias("part"))
+    w, before = Window.partitionBy("conv_id", "part").orderBy("at"), Window.partitionBy("conv_id").orderBy("part")
+    parts = slim.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max_by("role", "at").alias("last"))
+    parts = parts.select("conv_id", "part", (F.sum("n").over(before) - F.col("n")).alias("base"), F.lag("last").over(before).alias("previous"))
+    local = slim.withColumn("k", F.row_number().over(w)).withColumn("lag", F.lag("role").over(w)).join(parts, ["conv_id", "part"])
+    node = (F.col("base") + F.col("k")).cast("long")
+    changed = F.coalesce(F.coalesce("lag", "previous") != F.col("role"), F.lit(True))
+    numbered = materialize(local.select("conv_id", "part", "at", node.alias("node"), F.when(changed, node).alias("start")))
+    carried = numbered.groupBy("conv_id", "part").agg(F.max("start").alias("top"))
+    carried = carried.select("conv_id", "part", F.max("top").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    run = F.coalesce(F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0)), "carry")
+    placed = numbered.join(carried, ["conv_id", "part"]).select("at", "node", run.alias("run"))
+    return ranged.join(placed, "at").select(F.col("conv_id").alias("tree"), "node", F.when(F.col("run") > 1, F.col("run") - 1).alias("parent"), "role", "text")
 
 
 def answer_length() -> Column:
