@@ -297,7 +297,7 @@ def _rounds(spark: SparkSession, state: DataFrame, shard_keys: int) -> list[Kept
             release(state)
         del answers, after
         state = tables[-1].read(0).select("block", "open", *_ARRAYS)
-        sweep(spark)
+        sweep(spark, 1.5 if open_ > 10 * TASK_OPEN else 0)
     return tables
 
 
@@ -325,7 +325,7 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
     state = materialize(fresh)
     blocks.drop(0)
     del fresh
-    sweep(spark)
+    sweep(spark, 1.5 if size > 10 * TASK_OPEN else 0)
     found = [t.read(1) for t in _rounds(spark, state, shard_keys)]
     parts = spark.createDataFrame([], "block long, " + ", ".join(f"{c} binary" for c in _FOUND))
     for f in found:

@@ -6,6 +6,7 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,13 @@ class Kept:
         fs.delete(where, True)
 
 
-def sweep(spark: SparkSession) -> None:
+def sweep(spark: SparkSession, wait: float = 0) -> None:
     """Lets the driver's cleaner delete the shuffle files of jobs that are over: it acts when the JVM collects its garbage, which
-    a driver of few objects seldom does."""
+    a driver of few objects seldom does. wait: seconds to give it, where what comes next needs the room."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if wait:
+        time.sleep(wait)
 
 
 def _delete(path: str) -> None:
