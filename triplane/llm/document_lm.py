@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplane.llm.ngram_lm import SCORES, STRENGTH, score_columns, summary
-from triplane.llm.tables import Kept, arrow_batches, materialize, release, sweep
+from triplane.llm.tables import Kept, arrow_batches, materialize, release, tidy
 from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 
 BLOCK_WORDS, SHARD_KEYS = 500_000, 2_000_000
@@ -295,9 +295,7 @@ def _rounds(spark: SparkSession, state: DataFrame, shard_keys: int) -> list[Kept
             tables[-2].drop(0)
         else:
             release(state)
-        del answers, after
         state = tables[-1].read(0).select("block", "open", *_ARRAYS)
-        sweep(spark, 1.5 if open_ > 10 * TASK_OPEN else 0)
     return tables
 
 
@@ -322,11 +320,10 @@ def score_documents(docs: DataFrame, asked: Column | None = None, id_col: str =
     alike = materialize(alike.select("key", F.col("first.block").alias("in_block"), F.col("first.doc").alias("in_doc"), "weight", "asked"))
     chosen = alike.select(F.col("in_block").alias("block"), F.col("in_doc").alias("doc"), "weight", "asked")
     fresh = blocks.read(0).select("block", *_FRESH).groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(_distinct, _STATE.replace("kind int, ", "").partition(", f_doc")[0])
-    state = materialize(fresh)
-    blocks.drop(0)
-    del fresh
-    sweep(spark, 1.5 if size > 10 * TASK_OPEN else 0)
-    found = [t.read(1) for t in _rounds(spark, state, shard_keys)]
+    with tidy(spark):
+        state = materialize(fresh)
+        blocks.drop(0)
+        found = [t.read(1) for t in _rounds(spark, state, shard_keys)]
     parts = spark.createDataFrame([], "block long, " + ", ".join(f"{c} binary" for c in _FOUND))
     for f in found:
         parts = parts.union(f.select("block", *_FOUND))

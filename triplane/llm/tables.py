@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,13 +70,17 @@ class Kept:
         fs.delete(where, True)
 
 
-def sweep(spark: SparkSession, wait: float = 0) -> None:
-    """Lets the driver's cleaner delete the shuffle files of jobs that are over: it acts when the JVM collects its garbage, which
-    a driver of few objects seldom does. wait: seconds to give it, where what comes next needs the room."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    if wait:
-        time.sleep(wait)
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, a query's shuffle files are deleted when it has run, for its result is a written table; the session's setting
+    comes back after. Else they stay until the driver's JVM collects its garbage, which a driver of few objects seldom does."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _delete(path: str) -> None:
