@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from triplane.llm.document_lm import pack, score_documents, unpack
+from triplane.llm import document_lm
+from triplane.llm.document_lm import Block, Grams, pack, score_documents, unpack
 from triplane.llm.ngram_lm import STRENGTH, score_texts, suffix_array
 from triplane.llm.queries import QUERIES
 from triplane.llm.words import hash_words
@@ -127,3 +130,65 @@ def test_query_scores_every_asked_document(spark):
         text = next(r["text"] for r in rows if r["doc_id"] == i)
         n, bits, longest = brute(text, [r["text"] for r in rows if r["doc_id"] != i])
         assert (got[i]["n_tokens"], got[i]["longest_context"]) == (n, longest) and got[i]["bits_per_word"] == pytest.approx(bits)
+
+
+def in_process(texts, asked, grams=None):
+    """The rounds over one block for each text: (rows sent, keys sent, open intervals left) of each, and what queries found by
+    document, start and length."""
+    states, rounds, found = [], [], {}
+    for i, t in enumerate(texts):
+        h, none = hash_words([t]).hashes, np.zeros(0, np.int64)
+        vocabulary, codes = np.unique(h, return_inverse=True)
+        b = Block(vocabulary, codes, np.array([0, len(h)]), np.array([i]), np.array([0]), np.array([asked[i]]), np.array([1]), none, none, none, none, none)
+        states.append(document_lm._table({k: [v] for k, v in (b.row() | {"block": i, "kind": 0, "open": len(h)} | dict.fromkeys(document_lm._FOUND)).items()}, document_lm._STATE))
+    if grams == "queries":
+        grams = Grams(np.zeros(1 << 17, np.uint8), 20)
+        for at in np.concatenate([document_lm._read(s).of_queries() for s, q in zip(states, asked, strict=True) if q]) >> np.uint64(44):
+            grams.bits[int(at) >> 3] |= 1 << (int(at) & 7)
+    while states:
+        sent = pa.concat_tables(document_lm._sent(s.column("block")[0].as_py(), document_lm._read(s), 3, grams) for s in states)
+        answers = pa.concat_tables([document_lm._table({"block": [], "shard": [], "counts": []}, document_lm._ANSWER), *(document_lm._counted(sent.filter(pc.equal(sent.column("shard"), k))) for k in sorted(set(sent.column("shard").to_pylist())))])
+        after = []
+        for s in states:
+            mine = answers.filter(pc.equal(answers.column("block"), s.column("block")[0].as_py()))
+            out = document_lm._next(s, mine, grams)
+            after += [out.slice(i, 1) for i in range(out.num_rows) if out.column("kind")[i].as_py() == 0]
+            for i in range(out.num_rows):
+                if out.column("kind")[i].as_py():
+                    for doc, start, length, places, width in zip(*(unpack(out.column(c)[i].as_py(), kind).tolist() for c, kind in document_lm._FOUND.items()), strict=True):
+                        for j in range(width):
+                            assert found.setdefault((doc, start + j, length - j), places) == places
+        states = after
+        rounds.append((sent.num_rows, sum(len(unpack(x, np.uint64)) for x in sent.column("keys").to_pylist()), sum(s.column("open")[0].as_py() for s in states)))
+        grams = None
+    return rounds, found
+
+
+def test_first_round_sends_only_what_queries_have():
+    rng = random.Random(5)
+    texts = ["a b c d a b c e", "x a b c d y", *(" ".join(f"w{rng.randrange(10**6)}" for _ in range(2_000)) + " a b" for _ in range(3))]
+    asked = [True, False, False, False, False]
+    every, wanted = in_process(texts, asked)
+    rounds, found = in_process(texts, asked, "queries")
+    assert every[0][1] > 12_000 and rounds[0][1] < 200  # before, all n-grams of all documents
+    for some in (found, in_process(texts, asked, Grams(np.full(1 << 13, 255, np.uint8), 16))[1]):  # bits that let all through change nothing
+        assert {k: v for k, v in some.items() if k[2] < 4} == {k: v for k, v in wanted.items() if k[2] < 4} and some[0, 0, 4] == 1
+    assert found[0, 0, 2] == 4 and found[0, 0, 3] == 1
+
+
+def test_copies_are_asked_about_by_chains():
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(900)]
+    other = [*words[:300], "changed", *words[301:]]
+    rounds, found = in_process([" ".join(words), " ".join(other), " ".join(words[:600])], [True, False, False])
+    assert all(open_ < 20 for _, _, open_ in rounds[3:])  # before, one for each of some 800 starts and more
+    longest = {}
+    for (_, start, length), places in found.items():
+        longest.setdefault(start, {})[length] = places
+    for start in (0, 100, 295, 299, 300, 301, 400, 595, 599, 700):
+        at = longest[start]
+        assert max(at) == (600 - start if start < 301 else 900 - start)
+        for length in range(1, max(at) + 1):
+            end = start + length
+            places = (end <= 600) + (end <= 300 or start > 300)
+            assert at[min(x for x in at if x >= length)] == places
