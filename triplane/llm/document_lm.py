@@ -38,10 +38,8 @@ from triplane.llm.words import _BASE, _INVERSE, _power, hash_words, mix
 BLOCK_WORDS, SHARD_KEYS = 500_000, 2_000_000
 #: Open intervals for which a round has one more task, up to the session's shuffle partitions: late rounds are small.
 TASK_OPEN = 500_000
-#: Words for a key that is sent, in a first round that looks at what queries have.
-FRESH_WORDS = 3
-#: Lengths of a first round that looks at what queries have, and the most bits of that, as a power of two: 64 MB.
-FIRST, GRAMS_POWER = 3, 29
+#: Lengths of a first round that looks at what queries have, and the most bits of that, as a power of two: 32 MB.
+FIRST, GRAMS_POWER = 3, 28
 #: Lengths are asked for one by one up to this, doubled beyond. When the next is known too, starts of this many words join.
 EACH, JOINED = 5, 4
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -50,6 +48,10 @@ _FOUND = {"f_doc": np.int32, "f_start": np.int32, "f_length": np.int32, "f_place
 _STATE = "block long, kind int, open long, " + ", ".join(f"{name} binary" for name in [*_ARRAYS, *_FOUND])
 
 
+#: Made once a worker: each has memory of its own.
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array as its narrowest kind of number, the parts of one place in its numbers side by side, compressed. Ascending
     numbers are packed best by their differences."""
@@ -60,7 +62,7 @@ def pack(a: np.ndarray) -> bytes:
         a = a.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if 0 <= low and high <= np.iinfo(k).max or k is np.int64))
     a = np.ascontiguousarray(a)
     unit = 2 if a.itemsize == 8 else 1
-    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(f"u{unit}").reshape(len(a), -1).T))
+    return bytes([a.itemsize]) + _COMPRESSOR.compress(np.ascontiguousarray(a.view(f"u{unit}").reshape(len(a), -1).T))
 
 
 def unpack(data: bytes | None, kind: type) -> np.ndarray:
@@ -68,11 +70,18 @@ def unpack(data: bytes | None, kind: type) -> np.ndarray:
         return np.zeros(0, kind)
     width = data[0]
     unit = 2 if width == 8 else 1
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), f"u{unit}").reshape(width // unit, -1)
+    planes = np.frombuffer(_DECOMPRESSOR.decompress(memoryview(data)[1:]), f"u{unit}").reshape(width // unit, -1)
     flat = np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64 if kind is np.uint64 else np.int64}[width]).ravel()
     return flat.astype(kind, copy=False)
 
 
+def _used(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``size`` codes occur, in order, and each code's number among them."""
+    some = np.zeros(size, bool)
+    some[codes] = True
+    return np.flatnonzero(some), (np.cumsum(some, dtype=np.int32) - np.int32(1))[codes]
+
+
 @dataclass
 class Grams:
     """The n-grams that queries have, as bits by the first bits of their hashes: others may be taken for one of them, but none of
@@ -81,6 +90,10 @@ class Grams:
     bits: np.ndarray
     power: int
 
+    def sent(self) -> float:
+        """Keys that blocks send for a word, about: all that the bits let through, and a third of a key that queries have."""
+        return 1 / 3 + (FIRST - 1) * sum(int(np.unpackbits(x).sum()) for x in np.array_split(self.bits, 16)) / (8 * len(self.bits))
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> np.uint64(64 - self.power)
         return self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
@@ -186,7 +199,7 @@ class Block:
         begins = np.flatnonzero(begins)
         part = np.searchsorted(self.bounds, begins, side="right") - 1
         place = np.cumsum(covered) - 1
-        used, codes = np.unique(self.codes[covered], return_inverse=True)
+        used, codes = _used(self.codes[covered], len(self.vocabulary))
         return Block(self.vocabulary[used], codes, np.append(place[begins], len(codes)), self.docs[part], self.offsets[part] + begins - self.bounds[part], self.asked[part], self.weights[part], place[at], lo, hi, c_lo, c_hi, *(x[covered] if len(x) else x for x in (self.begin, self.width, self.reach)))
 
     def joined(self, c: np.ndarray, own: np.ndarray) -> tuple[Block | None, list[np.ndarray]]:
@@ -344,8 +357,8 @@ def _blocks(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
         columns, sizes, words, held, made = [], [], [], 0, TaskContext.get().partitionId() << 32
 
         def out():
-            distinct, codes, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+            codes, distinct = pd.factorize(np.concatenate(words))
+            order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")  # frequent words get small numbers
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             n = np.concatenate(sizes)
@@ -381,7 +394,7 @@ def _distinct(words: pa.Table, chosen: pa.Table) -> pa.Table:
     order = np.argsort(chosen.column("doc").to_numpy())
     doc, weight, asked = (chosen.column(c).to_numpy()[order] for c in ("doc", "weight", "asked"))
     stays, n = np.isin(fresh["docs"], doc), np.diff(fresh["bounds"])
-    used, codes = np.unique(fresh["codes"][np.repeat(stays, n)], return_inverse=True)
+    used, codes = _used(fresh["codes"][np.repeat(stays, n)], len(fresh["vocabulary"]))
     none = np.zeros(0, np.int64)
     b = Block(fresh["vocabulary"][used], codes, np.concatenate([[0], np.cumsum(n[stays])]), fresh["docs"][stays], fresh["offsets"][stays], asked, weight, none, none, none, none, none)
     row = b.row() | {"block": words.column("block")[0].as_py(), "open": len(codes), "kind": 0} | dict.fromkeys(_FOUND)
@@ -427,9 +440,10 @@ def _rounds(spark: SparkSession, state: DataFrame, shard_keys: int, query_words:
     """The tables of all rounds; rows of kind 1 are what queries found. state: a written table, released when it was read.
     query_words: of all queries, where they are few enough for a look at what they have."""
     tables: list[Kept] = []
-    shared = spark.sparkContext.broadcast(_grams(state, query_words)) if query_words else None
+    grams = _grams(state, query_words) if query_words else None
+    shared = grams and spark.sparkContext.broadcast(grams)
     while open_ := state.agg(F.sum("open")).first()[0]:
-        shards = -(-open_ // (shard_keys * (FRESH_WORDS if shared else 1)))
+        shards = max(1, -(-int(open_ * (grams.sent() if grams else 1)) // shard_keys))
 
         def sent(batches, shards=shards, shared=shared):
             for batch in batches:
@@ -442,7 +456,7 @@ def _rounds(spark: SparkSession, state: DataFrame, shard_keys: int, query_words:
         tables.append(Kept(after, "kind"))
         if shared:
             shared.destroy()
-            shared = None
+            grams = shared = None
         if len(tables) > 1:
             tables[-2].drop(0)
         else:
