@@ -2,6 +2,7 @@
 
 import random
 import threading
+from pathlib import Path
 from itertools import product
 from urllib.error import HTTPError
 from urllib.parse import quote
@@ -244,3 +245,35 @@ def test_random_patterns(spark, folder):
         got = run(store, "SELECT * { " + " . ".join(map(" ".join, patterns)) + " }", "terms")
         rows = sorted(tuple(sorted(("?" + k, v) for k, v in r.asDict().items())) for r in got.collect())
         assert rows == naive(triples, patterns), patterns
+
+
+def test_stream_keeps_only_a_part_of_the_text(spark, monkeypatch):
+    from triplane import queries
+
+    sizes, own = [], ntriples.write
+
+    def write(statements, path, **options):
+        own(statements, path, **options)
+        sizes.append(sum(p.stat().st_size for p in Path(path.removeprefix("file://")).parent.rglob("part-*")))
+
+    monkeypatch.setattr(ntriples, "write", write)
+    queries.stream_statements(spark, "/root/testdata/sf0.001")
+    whole = sizes.pop()
+    monkeypatch.setattr(queries, "PART_BYTES", 200e3)
+    got = queries.stream_statements(spark, "/root/testdata/sf0.001")
+    assert len(sizes) == 3 and max(sizes) < whole / 2 and whole < 1.5e6  # 10 MB before
+    wanted = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").groupBy("c_mktsegment").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_rows_of_any_path_have_short_names(spark, tmp_path):
+    from triplane.sources import mapped
+    from triplane.sources.mapped import MappedTables, Table
+
+    for i in range(3):
+        spark.range(50).repartition(1).write.parquet(str(tmp_path / f"a b%20c=é {i}"))
+    df = spark.read.parquet(*[str(p) for p in tmp_path.iterdir()])
+    keyed, name = MappedTables.keyed(Table(df, "row", None, "urn:t:"))
+    named = keyed.select(name.alias("n"), "_metadata.file_path").collect()
+    assert len({r["n"] for r in named}) == 150 and max(r["n"] for r in named) < 50 * 16
+    assert {mapped.one_slash(x) for x in df.inputFiles()} == {mapped.one_slash(x) for x in {r["file_path"] for r in named}}
