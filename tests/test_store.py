@@ -277,3 +277,28 @@ def test_rows_of_any_path_have_short_names(spark, tmp_path):
     named = keyed.select(name.alias("n"), "_metadata.file_path").collect()
     assert len({r["n"] for r in named}) == 150 and max(r["n"] for r in named) < 50 * 16
     assert {mapped.one_slash(x) for x in df.inputFiles()} == {mapped.one_slash(x) for x in {r["file_path"] for r in named}}
+
+
+def test_store_is_built_in_slices_and_keeps_no_text(spark, monkeypatch, tmp_path):
+    from triplane import queries
+    from triplane.sources import encoded
+
+    graph = queries.relational_graph(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(queries, "PART_BYTES", 400e3)
+    monkeypatch.setattr(encoded, "SLICE_ROWS", 30_000)
+    assert queries.text_parts(graph) > 1 and encoded._slices(103_000) > 1
+    shared, before = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")), set()
+    before = {p.name for p in shared.glob("statements-*")}
+    store = build(spark, queries._read_parts(spark, graph), str(tmp_path / "store"))
+    assert {p.name for p in shared.glob("statements-*")} == before
+    assert sorted(map(tuple, store.counts().collect())) == sorted(tuple(r) for r in graph.counts().collect() if r["triples"])
+    ids = [r["id"] for r in store.terms.collect()]
+    assert len(set(ids)) == len(ids) == store.terms.select("cat", "lex", "tag").distinct().count()
+    a, b = store.triples.select("s", "p", "o"), store.inverse.select("s", "p", "o")
+    assert a.count() == b.count() == a.distinct().count() and a.exceptAll(b).isEmpty()
+
+
+def test_repeated_statements_count_once_across_tables(spark, tmp_path):
+    line = spark.createDataFrame([("<urn:a> <urn:p> <urn:b> .",), ("<urn:a> <urn:p> <urn:c> .",)], "value string")
+    store = build(spark, iter([ntriples.statements(line), ntriples.statements(line)]), str(tmp_path / "store"))
+    assert store.counts().collect()[0]["triples"] == 2
