@@ -84,3 +84,31 @@ def test_malformed(text):
 )
 def test_resolved_references(base, reference, iri):
     assert resolve_iri(base, reference) == iri
+
+
+def test_turtle_holds_the_tokens_of_one_statement():
+    from itertools import islice
+
+    from triplane.sources.turtle import TurtleParser
+
+    parser = TurtleParser("<urn:s> <urn:p> 1 .\n" * 1000)
+    triples, most = parser.triples_of_document(), 0
+    while list(islice(triples, 100)):
+        most = max(most, len(parser.tokens))
+    assert most < 10
+
+
+def test_documents_come_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from triplane.sources import files
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, parsed, _):
+            return [len(x) for x in parsed([pd.DataFrame({"path": ["a"], "content": [b"<urn:s> <urn:p> 1 .\n" * 10]})])]
+
+    monkeypatch.setattr(files, "ROWS", 4)
+    assert files.documents(Files(), "turtle") == [4, 4, 2]
