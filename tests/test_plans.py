@@ -55,3 +55,11 @@ def test_filter_on_rows_without_a_key_reaches_the_scan(spark):
 def test_kinds_prune_tables(spark):
     got = plan(spark, "SELECT ?p ?o { ?n t:n_name \"NATION_5\" ; ?p ?o }")
     assert got.count("FileScan") == 2  # a nation's other predicates are in its own table
+
+
+def test_cells_of_rows_without_a_key_need_no_join(spark):
+    got = plan(spark, "SELECT ?q ?p ?o { ?l t:l_quantity ?q ; ?p ?o ; t:l_tax ?t }")
+    assert got.count("FileScan") == 1 and "Join" not in got
+    rows = run(relational_graph(spark, SF), PREFIX + "SELECT ?q ?p ?q { ?l t:l_quantity ?q ; ?p ?q }")
+    table = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert rows.count() == table.count() and {r["p"] for r in rows.collect()} == {"urn:t:l_quantity"}
