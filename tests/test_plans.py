@@ -63,3 +63,17 @@ def test_cells_of_rows_without_a_key_need_no_join(spark):
     rows = run(relational_graph(spark, SF), PREFIX + "SELECT ?q ?p ?q { ?l t:l_quantity ?q ; ?p ?q }")
     table = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert rows.count() == table.count() and {r["p"] for r in rows.collect()} == {"urn:t:l_quantity"}
+
+
+def test_few_keys_of_many_rows_are_spread(spark, monkeypatch):
+    from triplane.operators import joins
+    from triplane.queries import QUERIES
+
+    monkeypatch.setattr(joins, "PIECE", 2)
+    for name, where in (("bgp_shared_var", "c_mktsegment = 'BUILDING'"), ("sameterm", "c_acctbal > 9000")):
+        df = QUERIES[name](spark, SF)
+        spark.read.parquet(f"{SF}/supplier.parquet").createOrReplaceTempView("s_")
+        spark.read.parquet(f"{SF}/customer.parquet").createOrReplaceTempView("c_")
+        wanted = spark.sql(f"SELECT s_name, c_name FROM s_ JOIN c_ ON s_nationkey = c_nationkey WHERE {where}")
+        assert df.count() and sorted(map(tuple, df.collect())) == sorted(map(tuple, wanted.collect()))
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
